@@ -109,17 +109,34 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def block_links(ids: np.ndarray, sets: list[np.ndarray], split: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Linked pairs of a block: of the first `split` documents among themselves and with the rest (split 0: all pairs)."""
+    """Links that join what is linked in a block, a spanning forest: at most one for each document.
+
+    split: of the first so many documents with the others; 0: of all documents among themselves.
+    """
     if len(ids) < 2:
         return []
     n = np.array([len(s) for s in sets], np.int64)
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     grid = np.zeros((len(ids), int(column.max()) + 1), np.float32)
     grid[np.repeat(np.arange(len(ids)), n), column] = 1
-    shared = (grid @ grid.T).astype(np.int64)
-    linked = shared * den >= num * (n[:, None] + n[None, :] - shared)
-    a, b = np.nonzero(np.triu(linked, 1))
-    return [(int(ids[i]), int(ids[j])) for i, j in zip(a, b, strict=True) if ids[i] != ids[j] and (not split or i < split)]
+    left, right = (grid[:split], grid[split:]) if split else (grid, grid)
+    shared = (left @ right.T).astype(np.int64)
+    linked = shared * den >= num * (n[: len(left), None] + n[None, len(ids) - len(right) :] - shared)
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        a, b = find(i), find(j + split)
+        if a != b:
+            root[b] = a
+            out.append((int(ids[i]), int(ids[j + split])))
+    return out
 
 
 def _distances(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -173,7 +190,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     # Regions: keys that different sets share. The smallest node is the pivot; regions of one pivot are one.
     entries = prof.select(F.explode("keys").alias("key"), "node")
     shared = scratch.table(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("key", "pivot"))
-    region = scratch.table(entries.join(small_side(shared), "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    region = scratch.table(entries.join(shared.hint("merge"), "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     scratch.drop(shared)
     wanted = region.select(F.col("a").alias("node")).union(region.select("b")).distinct()
     wanted = scratch.table(prof.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")))  # one document for each set
