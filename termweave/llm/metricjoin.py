@@ -11,7 +11,8 @@ In a region the smallest document is the pivot and meets every other one. Docume
 are linked to it, and so are in one component without meeting each other. If any lie farther, the region is cut into
 rings by distance from the pivot; by the triangle inequality a link spans at most one threshold of distance, so each ring
 takes over a window of that width from below, and joins again by itself; the innermost ball needs no join of its own.
-Rings beyond a bounded size are met block by block.
+Documents that the stars have put in the pivot's component needn't meet each other; the others meet all of their ring,
+block by block where it is large.
 """
 
 from __future__ import annotations
@@ -148,12 +149,13 @@ def _distances(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, de
 
 
 def _ring_links(rings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside rings (pivot, ring, node, front): a ring's own documents (front) with each other and the window below.
+    """Links (a, b) inside rings (pivot, ring, node, front, inner): documents outside the pivot's component (front) with each
+    other and with those inside it. Rings without inner documents (all from the window below) are covered by the one below.
 
     Both parts are dealt to blocks of about BLOCK documents by hash; a group is a pair of blocks, the first one of the front.
     """
-    sized = rings.groupBy("pivot", "ring").agg(*[F.ceil(F.sum(F.col("front").cast("int") if f else (~F.col("front")).cast("int")) / BLOCK).cast("int").alias(n) for n, f in (("fronts", True), ("belows", False))])
-    dealt = rings.join(sized.filter("fronts > 0"), ["pivot", "ring"])
+    sized = rings.groupBy("pivot", "ring").agg(*[F.ceil(F.sum(F.col("front").cast("int") if f else (~F.col("front")).cast("int")) / BLOCK).cast("int").alias(n) for n, f in (("fronts", True), ("belows", False))], F.max("inner").alias("some"))
+    dealt = rings.join(sized.filter("fronts > 0 and some").drop("some"), ["pivot", "ring"])
     spot = F.pmod(F.xxhash64("node"), F.when(F.col("front"), F.col("fronts")).otherwise(F.col("belows"))).cast("int")
     dealt = dealt.withColumn("block", F.when(F.col("front"), spot).otherwise(F.col("fronts") + spot))
     every = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -198,17 +200,26 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     needed = rows.join(ids, F.expr("doc_id <=> id")).select("doc_id", "text")
     sets = scratch.table(shingle_sets(needed, words).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     met = _distances(scratch, region, sets, num, den)
+    one = scratch.table(connected(scratch, met.filter("linked").select("a", "b")))
+
+    def labelled(df: DataFrame, node: str, to: str) -> DataFrame:
+        return df.join(one.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(node) == F.col("_n"), "left").withColumn(to, F.coalesce("_c", node)).drop("_n", "_c")
+
     # Regions with a document beyond the pivot's threshold: rings of one threshold's width, each with the one below.
     width = (1 - num / den) * 1.000001
     open_ = met.groupBy("a").agg(F.sum((~F.col("linked")).cast("int")).alias("out"), F.count("*").alias("n")).filter("out > 0 and n > 1").select("a")
     own = F.when(F.col("linked"), F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("gap") / width).cast("int")))
     placed = met.join(open_, "a").select(F.col("a").alias("pivot"), F.col("b").alias("node"), own.alias("own"))
-    placed = placed.select("pivot", "node", "own", F.explode(F.array("own", F.col("own") + 1)).alias("ring")).filter("ring > 0")
-    rings = scratch.table(placed.select("pivot", "ring", "node", (F.col("own") == F.col("ring")).alias("front")))
-    links = scratch.table(met.filter("linked").select("a", "b").unionByName(_ring_links(rings, sets, num, den)).distinct())
-    for t in (sets, met, rings, region, wanted):
+    placed = labelled(labelled(placed, "pivot", "c1"), "node", "c2").withColumn("front", F.col("c1") != F.col("c2"))
+    placed = placed.select("pivot", "node", "own", "front", F.explode(F.array("own", F.col("own") + 1)).alias("ring")).filter("ring > 0")
+    rings = scratch.table(placed.select("pivot", "ring", "node", "front", (F.col("own") == F.col("ring")).alias("inner")))
+    more = scratch.table(_ring_links(rings, sets, num, den).distinct())
+    two = connected(scratch, labelled(labelled(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    late = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(one, "node", "left_anti").select("node", F.col("node").alias("component"))
+    labels = one.unionByName(late).join(two.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("component") == F.col("_n"), "left")
+    labels = scratch.table(labels.select("node", F.coalesce("_c", "component").alias("component")))
+    for t in (sets, met, rings, region, wanted, more, one):
         scratch.drop(t)
-    labels = scratch.table(connected(scratch, links))
     linked = prof.join(labels, "node")
     lowest = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
     by_node = labels.join(lowest, "component").select("node", "least")
