@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunks, mix64, shingle_hashes, small_side, utf8
 from .components import connected
 
-#: Documents of a ring that meet in one block.
-BLOCK = 96
+#: Documents of a ring that meet in one block, and shingles that are compared at a time: bounds a group's memory.
+BLOCK, COLUMNS = 512, 16_384
 
 
 def size_classes(top: int, ratio: float = 1.25) -> list[int]:
@@ -118,11 +118,17 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], split: int, num: int, d
         return []
     n = np.array([len(s) for s in sets], np.int64)
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    grid = np.zeros((len(ids), int(column.max()) + 1), np.float32)
-    grid[np.repeat(np.arange(len(ids)), n), column] = 1
-    left, right = (grid[:split], grid[split:]) if split else (grid, grid)
-    shared = (left @ right.T).astype(np.int64)
-    linked = shared * den >= num * (n[: len(left), None] + n[None, len(ids) - len(right) :] - shared)
+    row = np.repeat(np.arange(len(ids)), n)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n_left = split or len(ids)
+    shared = np.zeros((n_left, len(ids) - split), np.int64)
+    for low in range(0, int(column[-1]) + 1, COLUMNS):
+        at = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        grid = np.zeros((len(ids), COLUMNS), np.float32)
+        grid[row[at], column[at] - low] = 1
+        shared += (grid[:n_left] @ grid[split:].T).astype(np.int64)
+    linked = shared * den >= num * (n[:n_left, None] + n[None, split:] - shared)
     root = list(range(len(ids)))
 
     def find(i: int) -> int:
