@@ -4,8 +4,8 @@ A line's shingles are its character strings from each word's start through the w
 copies (lower-cased, trimmed) are one class, known by two 64-bit hashes. A class's signature has BANDS * ROWS + EXTRA
 minima; the k-th minimum is taken over hash XOR a k-th constant: the shingle nearest to the constant in the XOR metric,
 which two sets share with the probability of their Jaccard similarity. Classes that share a band meet the band's
-smallest class and are verified by exact Jaccard similarity; those that fail meet again in bands made finer by a further
-minimum. Verified links are joined by distributed union-find; the first line of each component, by document and place,
+smallest class; those that aren't near it meet again in bands made finer by a further minimum. Pairs whose signatures
+agree well enough are verified by exact Jaccard similarity. Verified links are joined by distributed union-find; the first line of each component, by document and place,
 stays.
 """
 
@@ -14,13 +14,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side
+from .common import Scratch
 from .components import connected
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8^2)^7 = 0.999.
 BANDS, ROWS, EXTRA = 7, 2, 2
 TAIL = 12
+#: Of 16 minima, by four bits each, so many must agree before a pair is verified (a pair at the threshold fails this with
+#: probability 0.0002), and so many show that a class needn't look further in its band.
+AGREE, SURE = 7, 14
+#: Longs in the filter that picks lines for verification: 2 MB, whatever the input.
+BITMAP = 1 << 18
 
 
 def _constant(i: int) -> int:
@@ -52,45 +57,70 @@ def signatures(lines: DataFrame) -> DataFrame:
     return exploded_shingles(lines, "k1", "k2").groupBy("k1", "k2").agg(*minima)
 
 
-def _meet(scratch: Scratch, keyed: DataFrame) -> DataFrame:
-    """key, k1, a (the key's smallest class) for all classes of keys with more than one."""
-    shared = scratch.table(keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a < z").select("key", "a"))
-    return keyed.join(small_side(shared), "key").filter("k1 <> a")
+def _sketch() -> F.Column:
+    """The low four bits of 16 minima in one number."""
+    out = F.lit(0).cast("long")
+    for i in range(16):
+        out = out.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(15)), 4 * i))
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, k1) with `linked` by exact Jaccard similarity of the shingle sets."""
-    left, right = sets.select(F.col("k1").alias("a"), F.col("hs").alias("ha")), sets.select("k1", F.col("hs").alias("hb"))
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "k1").select("a", "k1", (shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared)).alias("linked"))
+def _agreeing(a: F.Column, b: F.Column) -> F.Column:
+    """How many of the 16 groups of four bits are equal."""
+    x = a.bitwiseXOR(b)
+    for by in (2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+    return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _meet(scratch: Scratch, keyed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """key, a (the key's smallest class), k1 and `same` for all other classes of keys with more than one."""
+    shared = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a < z").select("key", "a")
+    met = scratch.table(keyed.join(shared.hint("merge"), "key").filter("k1 <> a"))
+    two = met.select("a", "k1").distinct().join(sketches, "k1").join(sketches.select(F.col("k1").alias("a"), F.col("s").alias("sa")), "a")
+    return met.join(two.select("a", "k1", _agreeing(F.col("s"), F.col("sa")).alias("same")), ["a", "k1"])
+
+
+def bitmap(keys: DataFrame) -> DataFrame:
+    """One row, `bits`: 64 * BITMAP bits, of which those of the keys are set. Its size is fixed."""
+    words = keys.groupBy(F.pmod("k1", F.lit(64 * BITMAP)).alias("b")).agg(F.lit(1).alias("one")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    filled = keys.sparkSession.range(BITMAP).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def _hit(k1: F.Column, bits: F.Column) -> F.Column:
+    b = F.pmod(k1, F.lit(64 * BITMAP))
+    return F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """k1, component for the line classes that have a near-duplicate of another class."""
-    sigs = scratch.table(signatures(lines_of(docs)))
-    bands = [F.struct(F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]).alias("key"), F.col("k1").alias("k1")) for b in range(BANDS)]
-    extras = [f"m{BANDS * ROWS + e}" for e in range(EXTRA)]
-    met = scratch.table(_meet(scratch, sigs.select(F.explode(F.array(*bands)).alias("s")).select("s.key", "s.k1")))
-    wanted = scratch.table(met.select("k1").union(met.select("a")).distinct())
-    lines = lines_of(docs).select("k1", "norm").join(small_side(wanted), "k1")
-    sets = lines.dropDuplicates(["k1"])
-    sets = scratch.table(exploded_shingles(sets, "k1").groupBy("k1").agg(F.collect_set("h").alias("hs")))
-    links, level = [], 0
-    while True:
-        checked = scratch.table(_verified(met.select("a", "k1").distinct(), sets, similarity))
-        links.append(checked.filter("linked").select("a", F.col("k1").alias("b")))
-        if level == EXTRA:
-            break
-        # Those that failed go on in their band, made finer by one more minimum, without the class they met.
-        failed = met.join(checked.filter("not linked"), ["a", "k1"]).select("key", "k1")
-        finer = failed.join(sigs.select("k1", extras[level]), "k1").select(F.xxhash64("key", F.lit(level), extras[level]).alias("key"), "k1")
-        met, level = scratch.table(_meet(scratch, scratch.table(finer))), level + 1
-        if not met.limit(1).count():
-            break
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    return connected(scratch, scratch.table(every.distinct())).select(F.col("node").alias("k1"), "component")
+    sigs = scratch.table(signatures(lines_of(docs)).withColumn("s", _sketch()))
+    sketches = sigs.select("k1", "s")
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    keyed, close = sigs.select(F.explode(F.array(*bands)).alias("key"), "k1"), []
+    for level in range(EXTRA + 1):
+        met = scratch.table(_meet(scratch, keyed, sketches))
+        close.append(met.filter(F.col("same") >= AGREE).select("a", "k1"))
+        if level < EXTRA:  # those that aren't surely near the class they met go on in their band, made finer by one more minimum
+            more = f"m{BANDS * ROWS + level}"
+            keyed = met.filter(F.col("same") < SURE).select("key", "k1").join(sigs.select("k1", more), "k1").select(F.xxhash64("key", F.lit(level), more).alias("key"), "k1")
+    pairs = close[0]
+    for other in close[1:]:
+        pairs = pairs.union(other)
+    pairs = scratch.table(pairs.distinct())
+    wanted = scratch.table(pairs.select("k1").union(pairs.select("a")).distinct())
+    # Texts of the wanted classes: a filter of fixed size lets few other lines into the shuffle.
+    lines = lines_of(docs).select("k1", "norm").join(F.broadcast(bitmap(wanted)), _hit(F.col("k1"), F.col("bits"))).select("k1", "norm")
+    lines = lines.groupBy("k1").agg(F.min("norm").alias("norm")).join(wanted, "k1")
+    sets = scratch.table(exploded_shingles(lines, "k1").groupBy("k1").agg(F.collect_set("h").alias("hs")))
+    left, right = sets.select(F.col("k1").alias("a"), F.col("hs").alias("ha")), sets.select("k1", F.col("hs").alias("hb"))
+    shared = F.size(F.array_intersect("ha", "hb"))
+    near = pairs.join(left, "a").join(right, "k1").filter(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared))
+    links = scratch.table(near.select("a", F.col("k1").alias("b")))
+    for t in (sigs, sets, wanted):
+        scratch.drop(t)
+    return connected(scratch, links).select(F.col("node").alias("k1"), "component")
 
 
 def dropped_lines(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -118,7 +148,7 @@ def dedup_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = scratch.table(dropped_lines(scratch, base, similarity).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("drop").alias("_drop")))
     keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col))
-    joined = keyed.join(gone, F.expr("_id <=> _doc and _hash = _th"), "left")
+    joined = keyed.join(gone.hint("shuffle_hash"), F.expr("_id <=> _doc and _hash = _th"), "left")
     parts = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("_drop", i), F.lit(False))), "\n")
     n_lines = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")), F.lit(0))
