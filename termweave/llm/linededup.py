@@ -24,8 +24,8 @@ TAIL = 12
 #: Of 16 minima, by four bits each, so many must agree before a pair is verified (a pair at the threshold fails this with
 #: probability 0.0002), and so many show that a class needn't look further in its band.
 AGREE, SURE = 7, 14
-#: Longs in the filter that picks lines for verification: 2 MB, whatever the input.
-BITMAP = 1 << 18
+#: Longs in the filters that pick rows before a shuffle: 4 MB, whatever the input.
+BITMAP = 1 << 19
 
 
 def _constant(i: int) -> int:
@@ -75,15 +75,16 @@ def _agreeing(a: F.Column, b: F.Column) -> F.Column:
 
 def _meet(scratch: Scratch, keyed: DataFrame, sketches: DataFrame) -> DataFrame:
     """key, a (the key's smallest class), k1 and `same` for all other classes of keys with more than one."""
-    shared = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a < z").select("key", "a")
-    met = scratch.table(keyed.join(shared.hint("merge"), "key").filter("k1 <> a"))
+    shared = scratch.table(keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a < z").select("key", "a"))
+    some = keyed.join(F.broadcast(bitmap(shared, "key")), _hit(F.col("key"), F.col("bits"))).select("key", "k1")
+    met = scratch.table(some.join(shared.hint("merge"), "key").filter("k1 <> a"))
     two = met.select("a", "k1").distinct().join(sketches, "k1").join(sketches.select(F.col("k1").alias("a"), F.col("s").alias("sa")), "a")
     return met.join(two.select("a", "k1", _agreeing(F.col("s"), F.col("sa")).alias("same")), ["a", "k1"])
 
 
-def bitmap(keys: DataFrame) -> DataFrame:
-    """One row, `bits`: 64 * BITMAP bits, of which those of the keys are set. Its size is fixed."""
-    words = keys.groupBy(F.pmod("k1", F.lit(64 * BITMAP)).alias("b")).agg(F.lit(1).alias("one")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """One row, `bits`: 64 * BITMAP bits, of which those of the keys are set. Its size is fixed; full, it lets all rows by."""
+    words = keys.groupBy(F.pmod(key, F.lit(64 * BITMAP)).alias("b")).agg(F.lit(1).alias("one")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
     filled = keys.sparkSession.range(BITMAP).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
 
@@ -93,8 +94,8 @@ def _hit(k1: F.Column, bits: F.Column) -> F.Column:
     return F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """k1, component for the line classes that have a near-duplicate of another class."""
+def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(k1, component) for the line classes that have a near-duplicate of another class, and all lines' places (doc, th, pos, k1, k2)."""
     sigs = scratch.table(signatures(lines_of(docs)).withColumn("s", _sketch()))
     sketches = sigs.select("k1", "s")
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
@@ -110,9 +111,10 @@ def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMIL
         pairs = pairs.union(other)
     pairs = scratch.table(pairs.distinct())
     wanted = scratch.table(pairs.select("k1").union(pairs.select("a")).distinct())
-    # Texts of the wanted classes: a filter of fixed size lets few other lines into the shuffle.
-    lines = lines_of(docs).select("k1", "norm").join(F.broadcast(bitmap(wanted)), _hit(F.col("k1"), F.col("bits"))).select("k1", "norm")
-    lines = lines.groupBy("k1").agg(F.min("norm").alias("norm")).join(wanted, "k1")
+    # One more pass over the texts: every line's place and, by a filter of fixed size, the texts of the wanted classes.
+    hit = F.when(_hit(F.col("k1"), F.col("bits")), F.col("norm"))
+    places = scratch.table(lines_of(docs).crossJoin(F.broadcast(bitmap(wanted, "k1"))).select("doc", "th", "pos", "k1", "k2", hit.alias("norm")))
+    lines = places.filter("norm is not null").groupBy("k1").agg(F.min("norm").alias("norm")).join(wanted, "k1")
     sets = scratch.table(exploded_shingles(lines, "k1").groupBy("k1").agg(F.collect_set("h").alias("hs")))
     left, right = sets.select(F.col("k1").alias("a"), F.col("hs").alias("ha")), sets.select("k1", F.col("hs").alias("hb"))
     shared = F.size(F.array_intersect("ha", "hb"))
@@ -120,20 +122,20 @@ def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMIL
     links = scratch.table(near.select("a", F.col("k1").alias("b")))
     for t in (sigs, sets, wanted):
         scratch.drop(t)
-    return connected(scratch, links).select(F.col("node").alias("k1"), "component")
+    return connected(scratch, links).select(F.col("node").alias("k1"), "component"), places.drop("norm")
 
 
 def dropped_lines(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc, th, drop array<int>: the places of the lines that go, for documents that lose any."""
-    found = scratch.table(line_components(scratch, docs, similarity))
-    # Exact copies need their own count: classes with one line and no component keep it.
-    places = lines_of(docs).select("doc", "th", "pos", "k1", "k2")
+    """doc, th, drop array<int> (the places of the lines that go), n_lines, for documents with lines."""
+    found, places = line_components(scratch, docs, similarity)
+    found = scratch.table(found)
+    # Exact copies need their own count: classes without a near-duplicate are told apart by both hashes.
     placed = places.join(found, "k1", "left").select("doc", "th", "pos", F.coalesce("component", "k1").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(0).alias("c2"))
     placed = scratch.table(placed)
     at = F.struct(F.col("doc").isNull().alias("n"), "doc", "th", "pos")
     first = placed.groupBy("c", "c2").agg(F.min(at).alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = placed.join(first, ["c", "c2"]).filter(at != F.col("keep"))
-    return gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("drop"))
+    told = placed.join(first, ["c", "c2"], "left").select("doc", "th", "pos", F.coalesce(at != F.col("keep"), F.lit(False)).alias("gone"))
+    return told.groupBy("doc", "th").agg(F.collect_set(F.when(F.col("gone"), F.col("pos"))).alias("drop"), F.size(F.collect_set("pos")).alias("n_lines"))
 
 
 def dedup_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,15 +148,14 @@ def dedup_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str
     """
     scratch = Scratch(docs.sparkSession, "linededup")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = scratch.table(dropped_lines(scratch, base, similarity).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("drop").alias("_drop")))
+    told = dropped_lines(scratch, base, similarity).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("drop").alias("_drop"), F.col("n_lines").alias("_n"))
     keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col))
-    joined = keyed.join(gone.hint("shuffle_hash"), F.expr("_id <=> _doc and _hash = _th"), "left")
+    joined = keyed.join(scratch.table(told).hint("shuffle_hash"), F.expr("_id <=> _doc and _hash = _th"), "left")
     parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("_drop", i), F.lit(False))), "\n")
-    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")), F.lit(0))
-    joined = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n_lines)).withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)))
-    joined = joined.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept))
-    return joined.select(*docs.columns, "n_lines", F.when(F.col("_drop").isNull(), 0).otherwise(F.col("n_dropped")).alias("n_dropped"))
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    loses = F.coalesce(F.size("_drop") > 0, F.lit(False)) & F.col(text_col).isNotNull()
+    joined = joined.withColumn(text_col, F.when(loses, kept).otherwise(F.col(text_col)))
+    return joined.select(*docs.columns, F.coalesce("_n", F.lit(0)).alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
