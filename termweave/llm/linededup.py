@@ -73,10 +73,10 @@ def _agreeing(a: F.Column, b: F.Column) -> F.Column:
     return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _meet(scratch: Scratch, keyed: DataFrame, sketches: DataFrame) -> DataFrame:
-    """key, a (the key's smallest class), k1 and `same` for all other classes of keys with more than one."""
+def _meet(scratch: Scratch, keyed: DataFrame, sketches: DataFrame, sift: bool) -> DataFrame:
+    """key, a (the key's smallest class), k1 and `same` for all other classes of keys with more than one; sift: by a bitmap first."""
     shared = scratch.table(keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a < z").select("key", "a"))
-    some = keyed.join(F.broadcast(bitmap(shared, "key")), _hit(F.col("key"), F.col("bits"))).select("key", "k1")
+    some = keyed.join(F.broadcast(bitmap(shared, "key")), _hit(F.col("key"), F.col("bits"))).select("key", "k1") if sift else keyed
     met = scratch.table(some.join(shared.hint("merge"), "key").filter("k1 <> a"))
     two = met.select("a", "k1").distinct().join(sketches, "k1").join(sketches.select(F.col("k1").alias("a"), F.col("s").alias("sa")), "a")
     return met.join(two.select("a", "k1", _agreeing(F.col("s"), F.col("sa")).alias("same")), ["a", "k1"])
@@ -101,7 +101,7 @@ def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMIL
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     keyed, close = sigs.select(F.explode(F.array(*bands)).alias("key"), "k1"), []
     for level in range(EXTRA + 1):
-        met = scratch.table(_meet(scratch, keyed, sketches))
+        met = scratch.table(_meet(scratch, keyed, sketches, sift=level == 0))
         close.append(met.filter(F.col("same") >= AGREE).select("a", "k1"))
         if level < EXTRA:  # those that aren't surely near the class they met go on in their band, made finer by one more minimum
             more = f"m{BANDS * ROWS + level}"
