@@ -22,6 +22,9 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Pre-tokens kept by a worker; longer ones than CACHE_CHARS are never kept. Bounds its memory.
 CACHE_ITEMS, CACHE_CHARS = 300_000, 64
+#: Ids up to which a fragment is merged by looking at all neighbours.
+SHORT = 48
+_NONE = (1 << 60, -1)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,27 +49,29 @@ class ForcedBoundaryBpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        inside = {t[i : i + 2] for t in vocab for i in range(len(t) - 1)}
-        self.joined = [[bytes((a, b)) in inside for b in range(256)] for a in range(256)]
+        self.inside = {pair for t in vocab for pair in zip(t, t[1:])}  # noqa: B905  byte pairs found inside tokens
         self.pattern = regex.compile(_SPLIT)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.cache: dict[str, tuple[list[int], str]] = {}
+        self.cache: dict[str, tuple[list[int], str, bytes]] = {}
+        self.merged: dict[bytes, list[int]] = {}  # by fragment
 
     def fragments(self, piece: bytes) -> Iterator[bytes]:
         """The piece, cut at every certain boundary."""
-        start = 0
-        for i in range(1, len(piece)):
-            if not self.joined[piece[i - 1]][piece[i]]:
-                yield piece[start:i]
-                start = i
+        start, inside = 0, self.inside
+        if inside.issuperset(zip(piece, piece[1:])):  # noqa: B905
+            yield piece
+            return
+        for i in [i for i, pair in enumerate(zip(piece, piece[1:]), 1) if pair not in inside]:  # noqa: B905
+            yield piece[start:i]
+            start = i
         yield piece[start:]
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: lowest-ranked pair first, leftmost among equals; O(n log n) for long ones."""
         ids = [self.single[b] for b in fragment]
         n = len(ids)
-        if n < 2:
-            return ids
+        if n <= SHORT:
+            return self._merge_short(ids)
         left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -84,37 +89,68 @@ class ForcedBoundaryBpe:
                 heapq.heappush(heap, (m[0], k, ids[k], made, m[1]))
         return [t for t, ok in zip(ids, alive, strict=True) if ok]
 
-    def piece(self, word: str) -> tuple[list[int], str]:
-        """Ids of a pre-token and their decimal form, comma-joined."""
-        ids = [t for f in self.fragments(word.encode()) for t in self.merge(f)]
-        got = ids, ",".join(map(str, ids))
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same for few ids, without a heap: the merges of all neighbours are kept in a list."""
+        get, none = self.merges.get, _NONE
+        found = [get(pair, none) for pair in zip(ids, ids[1:])]  # noqa: B905
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            made = best[1]
+            ids[i : i + 2] = [made]
+            del found[i]
+            if i < len(found):
+                found[i] = get((made, ids[i + 1]), none)
+            if i:
+                found[i - 1] = get((ids[i - 1], made), none)
+        return ids
+
+    def piece(self, word: str) -> tuple[list[int], str, bytes]:
+        """Ids of a pre-token, their decimal form, comma-joined, and the bytes that they decode to."""
+        ids: list[int] = []
+        for f in self.fragments(word.encode()):
+            part = self.merged.get(f)
+            if part is None:
+                part = self.merge(f)
+                if len(f) <= CACHE_CHARS:
+                    if len(self.merged) >= CACHE_ITEMS:
+                        self.merged.clear()
+                    self.merged[f] = part
+            ids += part
+        got = ids, ",".join(map(str, ids)), self.raw(ids)
         if len(word) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_ITEMS:
                 self.cache.clear()
             self.cache[word] = got
         return got
 
-    def pieces(self, text: str) -> list[tuple[list[int], str]]:
+    def pieces(self, text: str) -> list[tuple[list[int], str, bytes]]:
         if self.specials and any(s in text for s in self.special):
             out, end = [], 0
             for m in self.specials.finditer(text):
                 out += self._plain(text[end : m.start()])
-                out.append(([self.special[m.group()]], str(self.special[m.group()])))
+                i = self.special[m.group()]
+                out.append(([i], str(i), self.raw([i])))
                 end = m.end()
             return out + self._plain(text[end:])
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[tuple[list[int], str]]:
+    def _plain(self, text: str) -> list[tuple[list[int], str, bytes]]:
         get, make = self.cache.get, self.piece
         return [get(w) or make(w) for w in self.pattern.findall(text)]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; [] for an empty one. Special tokens' strings become their ids."""
-        return [t for ids, _ in self.pieces(text) for t in ids]
+        return [t for ids, *_ in self.pieces(text) for t in ids]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; special tokens stay, invalid UTF-8 becomes U+FFFD, unknown ids are left out."""
-        return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return self.raw(ids).decode("utf-8", "replace")
+
+    def raw(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes_of.get(i, b"") for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -161,10 +197,9 @@ def token_digests(docs: DataFrame, path: str | None = None, *, id_col: str = "do
             n, a, b = [], [], []
             for text in batch.column(1).to_pylist():
                 pieces = bpe.pieces(text or "")
-                ids = [t for p, _ in pieces for t in p]
-                n.append(len(ids))
-                a.append(of(",".join([s for _, s in pieces])))
-                b.append(of(bpe.decode(ids)))
+                n.append(sum([len(p[0]) for p in pieces]))
+                a.append(of(",".join([p[1] for p in pieces])))
+                b.append(of(b"".join([p[2] for p in pieces]).decode("utf-8", "replace")))  # characters may span pieces
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
