@@ -62,6 +62,23 @@ def uniform(*cols) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+#: Longs in the filters that pick rows before a shuffle: 4 MB, whatever the input.
+BITMAP = 1 << 19
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """One row, `bits`: 64 * BITMAP bits, of which those of the keys are set. Its size is fixed; full, it lets all rows by."""
+    words = keys.groupBy(F.pmod(key, F.lit(64 * BITMAP)).alias("b")).agg(F.lit(1).alias("one")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    filled = keys.sparkSession.range(BITMAP).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def hit(key: F.Column, bits: F.Column) -> F.Column:
+    """Whether a key's bit is set."""
+    b = F.pmod(key, F.lit(64 * BITMAP))
+    return F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 # ---- word and shingle hashes in numpy ------------------------------------------------------------------------------
 
 _B = 0x9E3779B97F4A7C15 | 1

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bitmap, hit
 from .components import connected
 
 SIMILARITY = 0.8
@@ -24,8 +24,6 @@ TAIL = 12
 #: Of 16 minima, by four bits each, so many must agree before a pair is verified (a pair at the threshold fails this with
 #: probability 0.0002), and so many show that a class needn't look further in its band.
 AGREE, SURE = 7, 14
-#: Longs in the filters that pick rows before a shuffle: 4 MB, whatever the input.
-BITMAP = 1 << 19
 
 
 def _constant(i: int) -> int:
@@ -76,24 +74,12 @@ def _agreeing(a: F.Column, b: F.Column) -> F.Column:
 def _meet(scratch: Scratch, keyed: DataFrame, sketches: DataFrame, sift: bool) -> DataFrame:
     """key, a (the key's smallest class), k1 and `same` for all other classes of keys with more than one; sift: by a bitmap first."""
     shared = scratch.table(keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a < z").select("key", "a"))
-    some = keyed.join(F.broadcast(bitmap(shared, "key")), _hit(F.col("key"), F.col("bits"))).select("key", "k1") if sift else keyed
+    some = keyed.join(F.broadcast(bitmap(shared, "key")), hit(F.col("key"), F.col("bits"))).select("key", "k1") if sift else keyed
     met = scratch.table(some.join(shared.hint("merge"), "key").filter("k1 <> a"))
     two = met.select("a", "k1").distinct().join(sketches, "k1").join(sketches.select(F.col("k1").alias("a"), F.col("s").alias("sa")), "a")
     return met.join(two.select("a", "k1", _agreeing(F.col("s"), F.col("sa")).alias("same")), ["a", "k1"])
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """One row, `bits`: 64 * BITMAP bits, of which those of the keys are set. Its size is fixed; full, it lets all rows by."""
-    words = keys.groupBy(F.pmod(key, F.lit(64 * BITMAP)).alias("b")).agg(F.lit(1).alias("one")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    filled = keys.sparkSession.range(BITMAP).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
-
-
-def _hit(k1: F.Column, bits: F.Column) -> F.Column:
-    b = F.pmod(k1, F.lit(64 * BITMAP))
-    return F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(k1, component) for the line classes that have a near-duplicate of another class, and all lines' places (doc, th, pos, k1, k2)."""
     sigs = scratch.table(signatures(lines_of(docs)).withColumn("s", _sketch()))
@@ -112,8 +98,8 @@ def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMIL
     pairs = scratch.table(pairs.distinct())
     wanted = scratch.table(pairs.select("k1").union(pairs.select("a")).distinct())
     # One more pass over the texts: every line's place and, by a filter of fixed size, the texts of the wanted classes.
-    hit = F.when(_hit(F.col("k1"), F.col("bits")), F.col("norm"))
-    places = scratch.table(lines_of(docs).crossJoin(F.broadcast(bitmap(wanted, "k1"))).select("doc", "th", "pos", "k1", "k2", hit.alias("norm")))
+    norm = F.when(hit(F.col("k1"), F.col("bits")), F.col("norm"))
+    places = scratch.table(lines_of(docs).crossJoin(F.broadcast(bitmap(wanted, "k1"))).select("doc", "th", "pos", "k1", "k2", norm.alias("norm")))
     lines = places.filter("norm is not null").groupBy("k1").agg(F.min("norm").alias("norm")).join(wanted, "k1")
     sets = scratch.table(exploded_shingles(lines, "k1").groupBy("k1").agg(F.collect_set("h").alias("hs")))
     left, right = sets.select(F.col("k1").alias("a"), F.col("hs").alias("ha")), sets.select("k1", F.col("hs").alias("hb"))

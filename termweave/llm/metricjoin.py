@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix64, shingle_hashes, small_side, utf8
+from .common import Scratch, bitmap, chunks, hit, mix64, shingle_hashes, small_side, utf8
 from .components import connected
 
 #: Documents of a ring that meet in one block, and shingles that are compared at a time: bounds a group's memory.
@@ -198,7 +198,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     # Regions: keys that different sets share. The smallest node is the pivot; regions of one pivot are one.
     entries = prof.select(F.explode("keys").alias("key"), "node")
     shared = scratch.table(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("key", "pivot"))
-    region = scratch.table(entries.join(shared.hint("merge"), "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    some = entries.join(F.broadcast(bitmap(shared, "key")), hit(F.col("key"), F.col("bits"))).select("key", "node")  # sifts before the shuffle
+    region = scratch.table(some.join(shared.hint("merge"), "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     scratch.drop(shared)
     wanted = region.select(F.col("a").alias("node")).union(region.select("b")).distinct()
     wanted = scratch.table(prof.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")))  # one document for each set
