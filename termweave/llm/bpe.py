@@ -21,7 +21,7 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 #: The pre-tokenizer's pattern (a fixed value of the tokenizer file's kind).
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Pre-tokens kept by a worker; longer ones than CACHE_CHARS are never kept. Bounds its memory.
-CACHE_ITEMS, CACHE_CHARS = 300_000, 64
+CACHE_ITEMS, CACHE_CHARS = 120_000, 48
 #: Ids up to which a fragment is merged by looking at all neighbours.
 SHORT = 48
 _NONE = (1 << 60, -1)
@@ -195,8 +195,8 @@ def token_digests(docs: DataFrame, path: str | None = None, *, id_col: str = "do
         of = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces = bpe.pieces(text or "")
+            for text in batch.column(1):
+                pieces = bpe.pieces(text.as_py() or "")
                 n.append(sum([len(p[0]) for p in pieces]))
                 a.append(of(",".join([p[1] for p in pieces])))
                 b.append(of(b"".join([p[2] for p in pieces]).decode("utf-8", "replace")))  # characters may span pieces

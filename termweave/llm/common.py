@@ -110,7 +110,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b" ".join(texts) + b" "
     data = np.frombuffer(joined, np.uint8)
     if len(_POW) <= len(data):
-        n = 1 << (len(data) + 1).bit_length()
+        n = len(data) + len(data) // 4 + 1
         _POW, _INV = _powers(_B, n), _powers(pow(_B, -1, 1 << 64), n)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
@@ -142,7 +142,7 @@ def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(out), out_at
 
 
-def chunks(texts: list, limit: int = 2_000_000):
+def chunks(texts: list, limit: int = 1_000_000):
     """Runs (from, to) of texts of about `limit` bytes in all, one at least: bounds the memory of vectorised work."""
     start = total = 0
     for i, t in enumerate(texts):

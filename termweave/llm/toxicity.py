@@ -29,7 +29,7 @@ WINDOW = 6
 TOKEN = re.compile(r"[^\W_]+")
 REPORTING = frozenset("said says say called calls quoted quote quotes quoting wrote writes word words term phrase slur defined means meaning reported dice dijo palabra sagte wort mot dit".split())
 QUOTES = "\"'“”„«»‘’`"
-CACHE_ITEMS = 200_000
+CACHE_ITEMS = 100_000
 STEM_CHARS = (4, 5, 6, 7)
 
 
@@ -275,7 +275,7 @@ def score_documents(docs: DataFrame, model: tuple, *, id_col: str = "doc_id", te
 
         scorer = _scorer(terms, weights, regular)
         for batch in batches:
-            scores = pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array([scorer.score(t.as_py()) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)
