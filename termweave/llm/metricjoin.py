@@ -201,6 +201,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     some = entries.join(F.broadcast(bitmap(shared, "key")), hit(F.col("key"), F.col("bits"))).select("key", "node")  # sifts before the shuffle
     region = scratch.table(some.join(shared.hint("merge"), "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     scratch.drop(shared)
+    full, prof = prof, scratch.table(prof.select("doc_id", "n_shingles", "node"))
+    scratch.drop(full)  # the keys were its bulk
     wanted = region.select(F.col("a").alias("node")).union(region.select("b")).distinct()
     wanted = scratch.table(prof.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")))  # one document for each set
     ids = small_side(scratch.table(wanted.select("id").distinct()))
