@@ -37,6 +37,10 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def sweep(self) -> None:
+        """Frees the shuffle files of finished steps: Spark deletes them once the driver has collected their plans."""
+        self.spark._jvm.System.gc()
+
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df (a stored table), broadcast if its counted rows are few; else as it is, for a shuffled join."""

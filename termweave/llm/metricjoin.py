@@ -28,6 +28,8 @@ from .components import connected
 
 #: Documents of a ring that meet in one block, and shingles that are compared at a time: bounds a group's memory.
 BLOCK, COLUMNS = 512, 16_384
+#: Region keys that are reduced together before their shuffle.
+PIECE = 1 << 20
 
 
 def size_classes(top: int, ratio: float = 1.25) -> list[int]:
@@ -94,6 +96,32 @@ def _mark(s: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None
 
 
+def reduced_entries(prof: DataFrame) -> DataFrame:
+    """key, node of the keys of (node, keys): for each PIECE of keys, the smallest and the largest node of every key.
+
+    So a hot key is reduced before the shuffle in fixed memory; a hash table of a task's keys, nearly all of them distinct,
+    would spill to disk instead.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            node = batch.column(0).fill_null(0).to_numpy()  # sets without a node have no keys
+            flat, ends = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()[1:] - batch.column(1).offsets[0].as_py()
+            for low in range(0, len(flat), PIECE):
+                key = flat[low : low + PIECE]
+                of = node[np.searchsorted(ends, np.arange(low, low + len(key)), side="right")]
+                order = np.argsort(key)
+                key, of = key[order], of[order]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                key, least, most = key[first], np.minimum.reduceat(of, first), np.maximum.reduceat(of, first)
+                wide = least != most
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key, key[wide]))), pa.array(np.concatenate((least, most[wide])))], ["key", "node"])
+
+    return prof.select("node", "keys").mapInArrow(run, "key long, node long")
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """node (what stands for the set), shingles array<long> of each row of (doc_id, text)."""
 
@@ -197,10 +225,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     prof = scratch.table(profiles(rows, words, num, den))
     # Regions: keys that different sets share. The smallest node is the pivot; regions of one pivot are one.
     entries = prof.select(F.explode("keys").alias("key"), "node")
-    shared = scratch.table(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("key", "pivot"))
+    shared = scratch.table(reduced_entries(prof).repartition("key").groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("key", "pivot"))
     some = entries.join(F.broadcast(bitmap(shared, "key")), hit(F.col("key"), F.col("bits"))).select("key", "node")  # sifts before the shuffle
     region = scratch.table(some.join(shared.hint("merge"), "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     scratch.drop(shared)
+    scratch.sweep()
     full, prof = prof, scratch.table(prof.select("doc_id", "n_shingles", "node"))
     scratch.drop(full)  # the keys were its bulk
     wanted = region.select(F.col("a").alias("node")).union(region.select("b")).distinct()
@@ -208,7 +237,9 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: i
     ids = small_side(scratch.table(wanted.select("id").distinct()))
     needed = rows.join(ids, F.expr("doc_id <=> id")).select("doc_id", "text")
     sets = scratch.table(shingle_sets(needed, words).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    scratch.sweep()
     met = _distances(scratch, region, sets, num, den)
+    scratch.sweep()
     one = scratch.table(connected(scratch, met.filter("linked").select("a", "b")))
 
     def labelled(df: DataFrame, node: str, to: str) -> DataFrame:
