@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-A rule is a regex over the normalised words of a text, a keyword that must be present before it is tried, a priority and
-a label. Detections are accepted in order of priority, then length, then place; one whose word interval lies inside that
+A rule is a regex over the normalised words of a text, keywords of which one must be present before it is tried (each
+alternative of the regex holds one), a priority and a label. Detections are accepted in order of priority, then length, then place; one whose word interval lies inside that
 of an accepted one is suppressed. Base phrases (word sequences) are counted apart and always keep their labels.
 """
 
@@ -25,15 +25,15 @@ _WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65
 class Rule:
     label: str
     pattern: re.Pattern
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     priority: int
     weight: float
 
 
-#: name, words of the name as a regex, keyword, versions ("" for none)
+#: name, words of the name as a regex, keywords (one of them in each alternative, apart by |), versions ("" for none)
 FAMILIES = (
     ("apache", r"apache(?: software)?", "apache", ("1 0", "1 1", "2 0")),
-    ("mit", r"(?:mit|expat|x11)", "mit", ("",)),
+    ("mit", r"(?:mit|expat|x11)", "mit|expat|x11", ("",)),
     ("bsd", r"(?:new |modified |simplified )?bsd(?: [234] clause| style)?", "bsd", ("",)),
     ("gpl", r"(?:gnu )?(?:gpl|general public licen[sc]e)", "g", ("1", "2", "3", "2 0", "3 0")),
     ("lgpl", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e|library general public licen[sc]e)", "l", ("2", "2 0", "2 1", "3", "3 0")),
@@ -51,8 +51,8 @@ FAMILIES = (
     ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[sc]e)", "w", ("2",)),
     ("python", r"(?:python software foundation|psf)", "p", ("2",)),
     ("openssl", r"openssl", "openssl", ("",)),
-    ("ofl", r"(?:sil open font licen[sc]e|sil ofl|ofl)", "ofl", ("1 0", "1 1")),
-    ("odbl", r"(?:open database licen[sc]e|odbl)", "od", ("1 0",)),
+    ("ofl", r"(?:sil open font licen[sc]e|sil ofl|ofl)", "ofl|open font", ("1 0", "1 1")),
+    ("odbl", r"(?:open database licen[sc]e|odbl)", "odbl|open database", ("1 0",)),
     ("upl", r"universal permissive", "universal permissive", ("1 0",)),
     ("ms-pl", r"(?:microsoft public licen[sc]e|ms pl)", "m", ("",)),
     ("ecl", r"educational community", "educational community", ("1 0", "2 0")),
@@ -63,7 +63,7 @@ CC_PARTS, CC_VERSIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"
 CC_NAMES = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?derivative(?: work)?s?"}
 #: Grants and notices that stand without a license's name.
 NOTICES = (
-    ("copyright", r"(?:copyright|©)(?: c)?(?: (?:19|20)\d\d)+", "copyright", 20, 0.5),
+    ("copyright", r"(?:copyright|©)(?: c)?(?: (?:19|20)\d\d)+", "copyright|©", 20, 0.5),
     ("copyright", r"copyright(?: c)? by", "copyright", 15, 0.4),
     ("reserved", r"all rights (?:are )?reserved", "reserved", 20, 0.6),
     ("reserved", r"some rights reserved", "reserved", 20, 0.5),
@@ -83,14 +83,18 @@ NOTICES = (
 )
 
 
+#: How every grant begins.
+GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|redistribute it) (?:under|by|subject to)"
+
+
 def rules() -> tuple[Rule, ...]:
     """Hundreds of rules: for each family and version the ways a license is named, granted or tagged, most telling first."""
     out: list[Rule] = []
 
     def add(label: str, body: str, keyword: str, priority: int, weight: float) -> None:
-        out.append(Rule(label, re.compile(rf" {body}(?= )".encode()), keyword.encode(), priority, weight))
+        out.append(Rule(label, re.compile(rf" {body}(?= )".encode()), tuple(keyword.encode().split(b"|")), priority, weight))
 
-    grant = r"(?:licen[sc]ed|released|distributed|available|published|provided|redistribute it) (?:under|by|subject to)(?: the)?(?: terms of(?: the)?)?(?: either the)?"
+    grant = rf"{GRANT}(?: the)?(?: terms of(?: the)?)?(?: either the)?"
     suffix = r"(?: (?:public )?licen[sc]e)?"
     for name, words, keyword, versions in FAMILIES:
         for v in versions:
@@ -109,24 +113,32 @@ def rules() -> tuple[Rule, ...]:
             end = rf" {v}" if v else ""
             tag = f"cc-{part.replace(' ', '-')}" + (f"-{v.replace(' ', '.')}" if v else "")
             bonus = 3 * len(part.split()) + (2 if v else 0)
-            add(tag, f"{grant} (?:a )?(?:cc|creative commons) {part}{end}", "cc", 80 + bonus, 0.95)
+            add(tag, f"{grant} (?:a )?(?:cc|creative commons) {part}{end}", "cc|creative commons", 80 + bonus, 0.95)
             add(tag, f"cc {part}{end}", "cc", 70 + bonus, 0.9)
             add(tag, f"creative commons {full}(?: international| unported| generic)?{end}", "creative commons", 70 + bonus, 0.9)
-    add("cc0", r"(?:cc0|creative commons zero)(?: 1 0)?", "cc", 75, 0.9)
+    add("cc0", r"(?:cc0|creative commons zero)(?: 1 0)?", "cc0|creative commons", 75, 0.9)
     for label, body, keyword, priority, weight in NOTICES:
         add(label, body, keyword, priority, weight)
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.pattern.pattern)))
 
 
-#: Any detection needs one of these; a text without them is done after one pass for each.
+#: Any detection needs one of these, or a grant by another word than "under"; a text without them is done after one pass for each.
 GATES = (b"licen", b"copyright", b"rights", b"public domain", b"permission", b"redistribution", b"warranty", b"provided as is", b"proprietary", b"may not be", b"unauthori", b"spdx", b" cc ", b" cc0 ", b"creative commons", b" under ", "©".encode())
 
 
+_GRANT = re.compile(rf" {GRANT} ".encode())
+
+
+def gated(words: bytes) -> bool:
+    """Whether a text may hold a detection."""
+    return any(g in words for g in GATES) or ((b" by " in words or b" subject to " in words) and _GRANT.search(words) is not None)
+
+
 @lru_cache(maxsize=1)
-def _compiled() -> dict[bytes, list[Rule]]:
-    by: dict[bytes, list[Rule]] = {}
+def _compiled() -> dict[tuple[bytes, ...], list[Rule]]:
+    by: dict[tuple[bytes, ...], list[Rule]] = {}
     for r in rules():
-        by.setdefault(r.keyword, []).append(r)
+        by.setdefault(r.keywords, []).append(r)
     return by
 
 
@@ -150,11 +162,11 @@ def base_places(words: bytes, base: Iterable = BASE) -> list[tuple[int, str]]:
 
 def detections(words: bytes) -> list[tuple[str, int, int, float]]:
     """Accepted detections as (label, first word, word after the last, weight), by place."""
-    if not any(g in words for g in GATES):
+    if not gated(words):
         return []
     found = []
-    for keyword, own in _compiled().items():
-        if keyword in words:
+    for keywords, own in _compiled().items():
+        if any(k in words for k in keywords):
             for r in own:
                 for m in r.pattern.finditer(words):
                     found.append((-r.priority, m.start() - m.end(), m.start(), m.end(), r))

@@ -282,6 +282,42 @@ def test_license_priorities():
     assert licenses.scan("CC BY-NC 4.0")["labels"] == "cc-by,cc-by-nc-4.0"
 
 
+def spelled(tree, r):
+    """A random text that a parsed pattern accepts."""
+    out = b""
+    for op, x in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += bytes([x])
+        elif op == "IN":
+            first = next(y for y in x if r.random() < 1 / len(x) or y is x[-1])
+            kind = str(first[0])
+            out += b"z" if str(x[0][0]) == "NEGATE" else bytes([first[1]]) if kind == "LITERAL" else b"7"
+        elif op == "NOT_LITERAL":
+            out += b"z"
+        elif op == "BRANCH":
+            out += spelled(r.choice(x[1]), r)
+        elif op == "SUBPATTERN":
+            out += spelled(x[3], r)
+        elif op == "MAX_REPEAT":
+            out += b"".join(spelled(x[2], r) for _ in range(r.randint(x[0], min(x[1], x[0] + 1))))
+        else:
+            assert op == "ASSERT", op
+    return out
+
+
+def test_license_gates_keep_every_alternative():
+    r = random.Random(4)
+    for rule in licenses.rules():
+        tree = re._parser.parse(rule.pattern.pattern)
+        for _ in range(120):
+            words = spelled(tree, r) + b" "
+            assert rule.pattern.search(words)
+            assert any(k in words for k in rule.keywords) and licenses.gated(words), (rule.label, words)
+    for text, label in (("Licensed under the SIL Open Font License, Version 1.1", "ofl-1.1"), ("released under the X11 license", "mit"), ("under the Open Database License 1.0", "odbl-1.0"), ("distributed subject to the MPL 2.0", "mpl-2.0"), ("provided by CC BY 4.0", "cc-by-4.0")):
+        assert label in licenses.scan(text)["labels"].split(","), text
+
+
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 90, 100), (5, 80, 100), (2, 30, 100)])
 def test_jaccard_against_brute_force(docs, words, num, den):
     texts = texts_of(docs)
