@@ -1,11 +1,13 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line's shingles are its character strings from each word's start through the word and the next 12 characters. Exact
-copies (lower-cased, trimmed) are one class, known by two 64-bit hashes. A class's signature has BANDS * ROWS + EXTRA
-minima; the k-th minimum is taken over hash XOR a k-th constant: the shingle nearest to the constant in the XOR metric,
-which two sets share with the probability of their Jaccard similarity. Classes that share a band meet the band's
-smallest class; those that aren't near it meet again in bands made finer by a further minimum. Pairs whose signatures
-agree well enough are verified by exact Jaccard similarity. Verified links are joined by distributed union-find; the first line of each component, by document and place,
+A line's shingles are the character strings of N code points at every position of the lower-cased, trimmed line (a shorter
+line is one shingle); WORDS instead takes strings from each word's start through the word and the next 12 characters.
+Exact copies are one class, known by two 64-bit hashes. A class's signature has BANDS * ROWS minima; the k-th minimum is
+taken over hash XOR a k-th constant: the shingle nearest to the constant in the XOR metric, which two sets share with the
+probability of their Jaccard similarity. Classes that share a band meet the band's pivot; all those that verified links to
+pivots leave outside the pivot's component then meet every member of their band in another component, block by block,
+which is quadratic in their number. Pairs whose sketches of the signature agree well enough are verified by exact Jaccard
+similarity. Verified links are joined by distributed union-find; the first line of each component, by document and place,
 stays.
 """
 
@@ -18,12 +20,16 @@ from .common import Scratch, bitmap, hit
 from .components import connected
 
 SIMILARITY = 0.8
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^2)^7 = 0.999.
-BANDS, ROWS, EXTRA = 7, 2, 2
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^5)^18 = 0.999. GROUP bands are shuffled at a time.
+BANDS, ROWS, GROUP = 18, 5, 6
 TAIL = 12
-#: Of 16 minima, by four bits each, so many must agree before a pair is verified (a pair at the threshold fails this with
-#: probability 0.0002), and so many show that a class needn't look further in its band.
-AGREE, SURE = 7, 14
+#: Code points of a shingle, and shingles that are reduced together before they reach their class.
+N, UNROLL = 5, 1
+#: Of 32 minima, by four bits each, so many must agree before a pair is verified (a pair at the threshold fails this with
+#: probability 0.00001).
+AGREE = 15
+#: Classes outside their pivot's component that meet their band in one block.
+BLOCK = 512
 
 
 def _constant(i: int) -> int:
@@ -41,25 +47,69 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.xxhash64(F.lit(7), "norm"))
 
 
-def exploded_shingles(lines: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` and `h`, a shingle's hash, for each word of each line: one fused stage, no array is copied."""
-    words = lines.select(*keep, F.split("norm", " ").alias("ws"))
-    at = words.select(*keep, "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - 1)).alias("i"))
-    after = F.concat_ws(" ", F.get("ws", F.col("i") + 1), F.get("ws", F.col("i") + 2))
-    return at.select(*keep, F.xxhash64(F.get("ws", F.col("i")), F.substring(after, 1, TAIL)).alias("h"))
+class Characters:
+    """Shingles of N code points at every position. In UTF-32 a position is found without counting from the line's start."""
 
+    step = UNROLL
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """k1, k2, m0, m1, ... for each class of lines."""
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_constant(i)))).alias(f"m{i}") for i in range(BANDS * ROWS + EXTRA)]
-    return exploded_shingles(lines, "k1", "k2").groupBy("k1", "k2").agg(*minima)
+    @staticmethod
+    def split(norm) -> F.Column:
+        return F.encode(norm, "UTF-32")
 
+    @staticmethod
+    def last(parts) -> F.Column:
+        return F.greatest(F.shiftright(F.length(parts), 2) - F.lit(N), F.lit(0))
 
-def _sketch() -> F.Column:
+    @staticmethod
+    def at(parts, i) -> F.Column:
+        return F.xxhash64(F.substring(parts, F.lit(4) * i + F.lit(1), F.lit(4 * N)))
+
+
+class Words:
+    """A shingle for each word: from its start through the word and the next TAIL characters of the two words after it."""
+
+    step = 1
+
+    @staticmethod
+    def split(norm) -> F.Column:
+        return F.split(norm, " ")
+
+    @staticmethod
+    def last(parts) -> F.Column:
+        return F.size(parts) - 1
+
+    @staticmethod
+    def at(parts, i) -> F.Column:
+        return F.xxhash64(F.get(parts, i), F.substring(F.concat_ws(" ", F.get(parts, i + 1), F.get(parts, i + 2)), 1, TAIL))
+
+
+def shingle_set(kind, norm) -> F.Column:
+    """The distinct hashes of a line's shingles."""
+    return F.element_at(F.transform(F.array(kind.split(norm)), lambda ws: F.array_distinct(F.transform(F.sequence(F.lit(0), kind.last(ws)), lambda i: kind.at(ws, i)))), 1)
+
+
+def signatures(lines: DataFrame, kind) -> DataFrame:
+    """k1, keys (of the bands), s0, s1 (the sketch) for each class of lines."""
+    one = lines.groupBy("k1", "k2").agg(F.min("norm").alias("norm")).select("k1", "k2", kind.split(F.col("norm")).alias("ws"))
+    at = one.select("k1", "k2", "ws", kind.last(F.col("ws")).alias("last"))
+    at = at.select("k1", "k2", "ws", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(kind.step))).alias("i"))
+    hs = [f"h{j}" for j in range(kind.step)]  # past the end the last shingle comes again
+    at = at.select("k1", "k2", *[kind.at(F.col("ws"), F.least(F.col("i") + j, F.col("last")) if j else F.col("i")).alias(h) for j, h in enumerate(hs)])
+
+    def least(c: int) -> F.Column:
+        xs = [F.col(h).bitwiseXOR(F.lit(c)) for h in hs]
+        return F.min(F.least(*xs) if len(xs) > 1 else xs[0])
+
+    mins = at.groupBy("k1", "k2").agg(*[least(_constant(i)).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    return mins.select("k1", F.array(*keys).alias("keys"), _sketch(0).alias("s0"), _sketch(16).alias("s1"))
+
+
+def _sketch(start: int) -> F.Column:
     """The low four bits of 16 minima in one number."""
     out = F.lit(0).cast("long")
     for i in range(16):
-        out = out.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(15)), 4 * i))
+        out = out.bitwiseOR(F.shiftleft(F.col(f"m{start + i}").bitwiseAND(F.lit(15)), 4 * i))
     return out
 
 
@@ -71,49 +121,74 @@ def _agreeing(a: F.Column, b: F.Column) -> F.Column:
     return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _meet(scratch: Scratch, keyed: DataFrame, sketches: DataFrame, sift: bool) -> DataFrame:
-    """key, a (the key's smallest class), k1 and `same` for all other classes of keys with more than one; sift: by a bitmap first."""
-    shared = scratch.table(keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a < z").select("key", "a"))
-    some = keyed.join(F.broadcast(bitmap(shared, "key")), hit(F.col("key"), F.col("bits"))).select("key", "k1") if sift else keyed
-    met = scratch.table(some.join(shared.hint("merge"), "key").filter("k1 <> a"))
-    two = met.select("a", "k1").distinct().join(sketches, "k1").join(sketches.select(F.col("k1").alias("a"), F.col("s").alias("sa")), "a")
-    return met.join(two.select("a", "k1", _agreeing(F.col("s"), F.col("sa")).alias("same")), ["a", "k1"])
+def _alike() -> F.Column:
+    """Whether the sketches (s0, s1) and (t0, t1) agree well enough."""
+    return _agreeing(F.col("s0"), F.col("t0")) + _agreeing(F.col("s1"), F.col("t1")) >= AGREE
+
+
+def _members(scratch: Scratch, sigs: DataFrame) -> DataFrame:
+    """key, a (the key's pivot), n (its classes), k1 for all other classes of keys with more than one."""
+    out = None
+    for low in range(0, BANDS, GROUP):
+        keyed = sigs.select(F.explode(F.slice("keys", low + 1, GROUP)).alias("key"), "k1")
+        x = F.col("k1").bitwiseXOR(F.col("key"))  # another pivot in each band
+        shared = keyed.groupBy("key").agg(F.min(x).alias("a"), F.max(x).alias("z"), F.count("*").alias("n")).filter("a < z")
+        shared = scratch.table(shared.select("key", F.col("a").bitwiseXOR(F.col("key")).alias("a"), "n"))
+        some = keyed.join(F.broadcast(bitmap(shared, "key")), hit(F.col("key"), F.col("bits"))).select("key", "k1")
+        met = scratch.table(some.join(shared.hint("merge"), "key").filter("k1 <> a"))
+        scratch.drop(shared)
+        scratch.sweep()
+        out = met if out is None else out.union(met)
+    return out
+
+
+def _rest(scratch: Scratch, crowded: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, k1) of one band and different components: classes outside their pivot's component with all but the pivot."""
+    label = lambda df, of, to: df.join(found.select(F.col("node").alias(of), F.col("component").alias("_c")), of, "left").withColumn(to, F.coalesce("_c", of)).drop("_c")
+    placed = scratch.table(label(label(crowded, "a", "ca"), "k1", "c").select("key", "k1", "c", (F.col("c") != F.col("ca")).alias("front")))
+    blocks = placed.filter("front").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = scratch.table(placed.join(blocks, "key").join(sketches, "k1"))
+    front = dealt.filter("front").select("key", F.pmod(F.xxhash64("k1"), "blocks").cast("int").alias("p"), F.col("k1").alias("a"), F.col("c").alias("ca"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    every = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "k1", "c", "front", "s0", "s1")
+    pairs = front.join(every, ["key", "p"]).filter("c <> ca and (a < k1 or not front)").filter(_alike())
+    return scratch.table(pairs.select(F.least("a", "k1").alias("a"), F.greatest("a", "k1").alias("k1")).distinct())
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b): the pairs (a, k1) whose exact Jaccard similarity is high enough."""
+    num = round(similarity * 10_000)
+    both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("hs").alias("ha")), "a").join(sets, "k1")
+    near = F.size(F.array_intersect("ha", "hs")) * F.lit(10_000 + num) >= (F.size("ha") + F.size("hs")) * F.lit(num)
+    return scratch.table(both.filter(near).select("a", F.col("k1").alias("b")))
 
 
-def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY, kind=Words) -> tuple[DataFrame, DataFrame]:
     """(k1, component) for the line classes that have a near-duplicate of another class, and all lines' places (doc, th, pos, k1, k2)."""
-    sigs = scratch.table(signatures(lines_of(docs)).withColumn("s", _sketch()))
-    sketches = sigs.select("k1", "s")
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    keyed, close = sigs.select(F.explode(F.array(*bands)).alias("key"), "k1"), []
-    for level in range(EXTRA + 1):
-        met = scratch.table(_meet(scratch, keyed, sketches, sift=level == 0))
-        close.append(met.filter(F.col("same") >= AGREE).select("a", "k1"))
-        if level < EXTRA:  # those that aren't surely near the class they met go on in their band, made finer by one more minimum
-            more = f"m{BANDS * ROWS + level}"
-            keyed = met.filter(F.col("same") < SURE).select("key", "k1").join(sigs.select("k1", more), "k1").select(F.xxhash64("key", F.lit(level), more).alias("key"), "k1")
-    pairs = close[0]
-    for other in close[1:]:
-        pairs = pairs.union(other)
-    pairs = scratch.table(pairs.distinct())
-    wanted = scratch.table(pairs.select("k1").union(pairs.select("a")).distinct())
+    sigs = scratch.table(signatures(lines_of(docs), kind))
+    scratch.sweep()
+    sketches = scratch.table(sigs.select("k1", "s0", "s1"))
+    members = _members(scratch, sigs)
+    scratch.drop(sigs)
+    stars = members.select("a", "k1").distinct().join(sketches, "k1").join(sketches.select(F.col("k1").alias("a"), F.col("s0").alias("t0"), F.col("s1").alias("t1")), "a")
+    stars = scratch.table(stars.filter(_alike()).select("a", "k1"))
+    crowded = members.filter("n > 2")  # in a band of two, all have met
+    wanted = scratch.table(stars.select("k1").union(stars.select("a")).union(crowded.select("k1")).distinct())
     # One more pass over the texts: every line's place and, by a filter of fixed size, the texts of the wanted classes.
     norm = F.when(hit(F.col("k1"), F.col("bits")), F.col("norm"))
     places = scratch.table(lines_of(docs).crossJoin(F.broadcast(bitmap(wanted, "k1"))).select("doc", "th", "pos", "k1", "k2", norm.alias("norm")))
-    lines = places.filter("norm is not null").groupBy("k1").agg(F.min("norm").alias("norm")).join(wanted, "k1")
-    sets = scratch.table(exploded_shingles(lines, "k1").groupBy("k1").agg(F.collect_set("h").alias("hs")))
-    left, right = sets.select(F.col("k1").alias("a"), F.col("hs").alias("ha")), sets.select("k1", F.col("hs").alias("hb"))
-    shared = F.size(F.array_intersect("ha", "hb"))
-    near = pairs.join(left, "a").join(right, "k1").filter(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared))
-    links = scratch.table(near.select("a", F.col("k1").alias("b")))
-    for t in (sigs, sets, wanted):
+    texts = places.filter("norm is not null").groupBy("k1").agg(F.min("norm").alias("norm")).join(wanted, "k1")
+    sets = scratch.table(texts.select("k1", shingle_set(kind, F.col("norm")).alias("hs")))
+    scratch.sweep()
+    links = _verified(scratch, stars, sets, similarity)
+    more = _verified(scratch, _rest(scratch, crowded, scratch.table(connected(scratch, links)), sketches), sets, similarity)
+    for t in (sets, wanted, sketches):
         scratch.drop(t)
-    return connected(scratch, links).select(F.col("node").alias("k1"), "component"), places.drop("norm")
+    return connected(scratch, links.union(more)).select(F.col("node").alias("k1"), "component"), places.drop("norm")
 
 
-def dropped_lines(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def dropped_lines(scratch: Scratch, docs: DataFrame, similarity: float = SIMILARITY, kind=Words) -> DataFrame:
     """doc, th, drop array<int> (the places of the lines that go), n_lines, for documents with lines."""
-    found, places = line_components(scratch, docs, similarity)
+    found, places = line_components(scratch, docs, similarity, kind)
     found = scratch.table(found)
     # Exact copies need their own count: classes without a near-duplicate are told apart by both hashes.
     placed = places.join(found, "k1", "left").select("doc", "th", "pos", F.coalesce("component", "k1").alias("c"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(0).alias("c2"))
@@ -124,9 +199,10 @@ def dropped_lines(scratch: Scratch, docs: DataFrame, similarity: float = SIMILAR
     return told.groupBy("doc", "th").agg(F.collect_set(F.when(F.col("gone"), F.col("pos"))).alias("drop"), F.size(F.collect_set("pos")).alias("n_lines"))
 
 
-def dedup_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, similarity: float = SIMILARITY, kind=Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `text` without the lines that go, and n_lines, n_dropped (of lines that aren't blank).
 
+    kind: what near means, Characters (op7 and the pipeline) or Words.
     One line of each component of near-duplicate lines stays over the whole table: the first by id (null last), text hash
     and place. Blank lines stay. Null and empty texts stay as they are. A text that loses all its lines becomes what is
     left of blank lines, or "". Rows of equal id and text are one document: their lines stay or go together; all other
@@ -134,7 +210,7 @@ def dedup_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str
     """
     scratch = Scratch(docs.sparkSession, "linededup")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    told = dropped_lines(scratch, base, similarity).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("drop").alias("_drop"), F.col("n_lines").alias("_n"))
+    told = dropped_lines(scratch, base, similarity, kind).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("drop").alias("_drop"), F.col("n_lines").alias("_n"))
     keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col))
     joined = keyed.join(scratch.table(told).hint("shuffle_hash"), F.expr("_id <=> _doc and _hash = _th"), "left")
     parts = F.split(F.col(text_col), "\n")
@@ -145,4 +221,4 @@ def dedup_lines(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), kind=Characters)

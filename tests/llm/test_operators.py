@@ -265,6 +265,41 @@ def test_lines_against_brute_force(docs):
     assert sum(r.n_lines - r.n_dropped for r in got.values()) == len(seen)
 
 
+def character_components(names, n=5):
+    sets = [frozenset(x[i : i + n] for i in range(max(1, len(x) - n + 1))) for x in names]
+    return union(len(names), [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])])
+
+
+def test_lines_by_characters(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    base = [*[" ".join(word() for _ in range(9)) for _ in range(20)], *["".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(60)) for _ in range(20)], *["\t".join(word() for _ in range(9)) for _ in range(20)], "abc", "ab", "\U0001F600" * 3]
+    lines = [*base, *[x[:20] + "é" + x[21:] for x in base if len(x) > 30]]
+    root = character_components(lines)
+    assert len(set(root)) < len(lines) - 40
+    got = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), kind=linededup.Characters).collect()}
+    assert got == {i: int(c != i) for i, c in enumerate(root)}
+
+
+def test_lines_among_templates(spark):
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    frame = word(150)
+    lines = [frame + word(22) for _ in range(2000)]  # of mutual similarity 0.74
+    lines += [x[:-1] + "#" for x in r.sample(lines, 200)]  # each near to one of them
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), kind=linededup.Characters)
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    common, by = set.intersection(*sets), defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x - common:
+            by[g].append(i)
+    pairs = {(b, a) for at in by.values() for a in at for b in at if a < b}  # those that share only the frame are too far apart
+    assert 10 * len(common) < 8 * min(2 * len(x) - len(common) for x in sets)
+    root = union(len(lines), [(a, b) for a, b in pairs if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])])
+    want = {i for i, c in enumerate(root) if c != i}
+    assert set(range(2000, 2200)) <= want and {x.doc_id for x in got.filter("n_dropped > 0").collect()} == want
+
+
 def test_licenses_against_brute_force(docs):
     texts = texts_of(docs)
     for r in licenses.scan_documents(docs).collect():
