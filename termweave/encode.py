@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lineitem_op(spark: SparkSession, sf_dir: str) -> OperatorFrame:
-    """6 qubits, a term a line."""
+    """6 qubits, a term a line; ids hold the order's key and the line's number, of which there are seven at most."""
     masks = {"x0": F.col("l_partkey").bitwiseAND(F.lit(63)), "z0": F.col("l_suppkey").bitwiseAND(F.lit(63))}
-    return OperatorFrame.from_df(table(spark, sf_dir, "lineitem"), 6, masks=masks, re=F.col("l_quantity"), im=F.col("l_linenumber"), term_id=F.col("l_orderkey"))
+    return OperatorFrame.from_df(table(spark, sf_dir, "lineitem"), 6, masks=masks, re=F.col("l_quantity"), im=F.col("l_linenumber"), term_id=F.col("l_orderkey") * 8 + F.col("l_linenumber"))
 
 
 def part_op(spark: SparkSession, sf_dir: str) -> OperatorFrame:

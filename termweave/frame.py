@@ -14,14 +14,15 @@ from .operators import algebra, expect, grouping
 from .operators.commute import CommutationRelation
 from .plans import guards
 from .plans.ranks import dense_ids
+from .plans.storage import stored
 from .sources import adapters, tables
 
 
 class OperatorFrame:
     """df: term_id, x0, z0, x1, z1, ..., re, im; num_terms is counted when first asked for, unless it is known."""
 
-    def __init__(self, df: DataFrame, num_qubits: int, num_terms: int | None = None):
-        self.df, self.num_qubits, self._num_terms = df, guards.qubits(num_qubits), num_terms
+    def __init__(self, df: DataFrame, num_qubits: int, num_terms: int | None = None, span: int | None = None):
+        self.df, self.num_qubits, self._num_terms, self._span = df, guards.qubits(num_qubits), num_terms, span
 
     # -- sources --
 
@@ -70,6 +71,14 @@ class OperatorFrame:
             self._num_terms = self.df.count()
         return self._num_terms
 
+    @property
+    def id_span(self) -> int:
+        """One above the largest term_id: the ids of a DataFrame of one's own needn't be dense."""
+        if self._span is None:
+            n, top = self.df.agg(F.count("*"), F.max("term_id")).first()
+            self._num_terms, self._span = n, 0 if top is None else top + 1
+        return self._span
+
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> OperatorFrame:
         """Keeps the terms on the executors."""
         return OperatorFrame(self.df.persist(level), self.num_qubits, self._num_terms)
@@ -109,17 +118,18 @@ class OperatorFrame:
         if not isinstance(other, OperatorFrame):
             return NotImplemented
         guards.same_width(self, other)
+        span = self.id_span
         total = self.num_terms + other._num_terms if other._num_terms is not None else None
-        return OperatorFrame(algebra.concatenated(self.df, other.df, self.num_terms), self.num_qubits, total)
+        return OperatorFrame(algebra.concatenated(self.df, other.df, span), self.num_qubits, total)
 
     def __mul__(self, c) -> OperatorFrame:
         return OperatorFrame(algebra.scaled(self.df, guards.coefficient(c)), self.num_qubits, self._num_terms)
 
     __rmul__ = __mul__
 
-    def simplify(self, atol: float = 1e-12, rtol: float = 0.0, *, deterministic: bool = False, numbered: bool = True) -> OperatorFrame:
-        """Merged terms in canonical order; numbered=False leaves the order (and the sort) out."""
-        out = algebra.simplified(self.df, self.num_qubits, atol, rtol, deterministic)
+    def simplify(self, atol: float = 1e-12, rtol: float = 0.0, *, deterministic: bool = False, exact: bool = False, numbered: bool = True) -> OperatorFrame:
+        """Merged terms in canonical order; numbered=False leaves the order (and the sort) out. Kinds of sums: see merged()."""
+        out = algebra.simplified(self.df, self.num_qubits, atol, rtol, deterministic, exact)
         if not numbered:
             out = out.withColumn("term_id", F.monotonically_increasing_id())
         elif self.words:
@@ -140,9 +150,9 @@ class OperatorFrame:
         guards.same_width(self, other)
         n = guards.checked_product(self.num_terms, other.num_terms, max_intermediate_terms, "max_intermediate_terms")
         if not simplify:
-            return OperatorFrame(algebra.product(self.df, other.df, self.num_qubits, other.num_terms, strategy), self.num_qubits, n)
+            return OperatorFrame(algebra.product(self.df, other.df, self.num_qubits, other.num_terms, strategy, other.id_span), self.num_qubits, n)
         left, right = (algebra.merged(x.df, self.num_qubits).withColumn("term_id", F.lit(0).cast("long")) for x in (self, other))
-        return OperatorFrame(algebra.product(left, right, self.num_qubits, other.num_terms, strategy), self.num_qubits).simplify()
+        return OperatorFrame(algebra.product(left, right, self.num_qubits, min(4**self.num_qubits, other.num_terms), strategy), self.num_qubits).simplify()
 
     def __matmul__(self, other: OperatorFrame) -> OperatorFrame:
         return self.matmul(other) if isinstance(other, OperatorFrame) else NotImplemented
@@ -153,20 +163,20 @@ class OperatorFrame:
         """The lazy relation: counts, degrees, edges, top-k and dense forms."""
         return CommutationRelation(self, other, qubitwise=qubitwise, strategy=strategy)
 
-    def commutes_with(self, other: OperatorFrame, max_commutation_matrix_entries: int = guards.MAX_PAIR_ENTRIES):
-        return self.relation(other).to_numpy(max_commutation_matrix_entries)
+    def commutes_with(self, other: OperatorFrame, max_commutation_matrix_entries: int = guards.MAX_PAIR_ENTRIES, output: np.ndarray | None = None):
+        """A bool, a vector or a matrix; with output, a one-dimensional bool array that is filled row by row and returned."""
+        relation = self.relation(other)
+        return relation.to_numpy(max_commutation_matrix_entries) if output is None else relation.into(output)
 
     def group_df(self, mode: str = "qwc", strategy: str = "largest_first", max_terms_for_graph: int = 50_000) -> DataFrame:
         return grouping.grouped(self.df, self.num_qubits, mode, strategy, max_terms_for_graph)
 
     def group_commuting(self, mode: str = "qwc", strategy: str = "largest_first", max_terms_for_graph: int = 50_000) -> list[OperatorFrame]:
-        """One frame for each group, in order; [] without terms."""
-        rows = self.group_df(mode, strategy, max_terms_for_graph).orderBy("group_id", "pos_in_group").collect()
-        names = bits.mask_columns(self.num_qubits)
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(r.group_id, []).append((r.pos_in_group, *[r[c] for c in names], r.re, r.im))
-        return [OperatorFrame(self.spark.createDataFrame(by[g], tables.term_schema(self.num_qubits)), self.num_qubits, len(by[g])) for g in sorted(by)]
+        """One frame for each group, in order; [] without terms. The grouped terms are stored once; only sizes reach the driver."""
+        rows = stored(self.group_df(mode, strategy, max_terms_for_graph), "groups")
+        sizes = rows.groupBy("group_id").count().orderBy("group_id").collect()
+        terms = lambda g: rows.filter(F.col("group_id") == g).select(F.col("pos_in_group").cast("long").alias("term_id"), *bits.mask_columns(self.num_qubits), "re", "im")
+        return [OperatorFrame(terms(g), self.num_qubits, n) for g, n in sizes]
 
     # -- expectation values --
 

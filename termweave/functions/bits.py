@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = 64
+#: Qubits up to which both masks of a term fit one non-negative number.
+PACKED = 31
 SIGN = -(1 << 63)
 
 
@@ -35,6 +37,16 @@ def _per_word(num_qubits: int, f: Callable[[int], Column]) -> list[Column]:
     return [f(w) for w in range(words_for(num_qubits))]
 
 
+def packed_key(num_qubits: int, prefix: str = "") -> Column:
+    """x0 above z0 in one number, for up to PACKED qubits; its order is the canonical one."""
+    return F.shiftleft(f"{prefix}x0", num_qubits).bitwiseOR(F.col(f"{prefix}z0"))
+
+
+def unpacked(key: str, num_qubits: int) -> list[Column]:
+    """x0 and z0 of a packed key."""
+    return [F.shiftright(key, num_qubits).alias("x0"), F.col(key).bitwiseAND(F.lit((1 << num_qubits) - 1)).alias("z0")]
+
+
 def weight(num_qubits: int, prefix: str = "") -> Column:
     """Qubits that a term acts on."""
     return _sum(_per_word(num_qubits, lambda w: F.bit_count(F.col(f"{prefix}x{w}").bitwiseOR(F.col(f"{prefix}z{w}"))))).cast("int")

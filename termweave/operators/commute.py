@@ -7,12 +7,13 @@ dense matrix is never made: work is the product of distinct masks, not of terms.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..plans import guards
-from ..plans.strategy import paired
+from ..plans.ranks import running_sum
+from ..plans.strategy import BROADCAST_TERMS, paired
 from .algebra import renamed
 
 
@@ -55,7 +56,9 @@ class CommutationRelation:
 
     def _met(self) -> DataFrame:
         right = self._distinct(self.rhs, "r_")
-        return paired(self._distinct(self.lhs, "l_"), right, self.rhs.num_terms, self.strategy)
+        # There are 4^n masks at most: counting is left out where that is few.
+        most = 4**self.lhs.num_qubits
+        return paired(self._distinct(self.lhs, "l_"), right, most if most <= BROADCAST_TERMS else min(most, self.rhs.num_terms), self.strategy)
 
     def total(self, commuting: bool = True) -> DataFrame:
         """One row, `n`: pairs that commute (or don't)."""
@@ -84,22 +87,42 @@ class CommutationRelation:
         guards.axis(axis)
         if axis is None:
             return int(self.total(commuting).first()[0])
-        rows = self.counts(axis, commuting).orderBy("id").collect()
-        return np.array([r.n for r in rows], np.uint64)
+        return self.counts(axis, commuting).orderBy("id").select("n").toArrow().column(0).to_numpy().astype(np.uint64)
+
+    def both_degrees(self, commuting: bool = False) -> DataFrame:
+        """axis, id, n: the degrees of all rows (axis 1) and columns (axis 0); the masks meet once for both."""
+        hit = self.test if commuting else ~self.test
+        sides = [[f"{p}{k}" for k in self.keys] for p in ("l_", "r_")]
+        if not self.keys:
+            return self.counts(1, commuting).select(F.lit(1).alias("axis"), "id", "n").union(self.counts(0, commuting).select(F.lit(0), "id", "n"))
+        sums = [F.sum(F.when(hit, F.col(n)).otherwise(0)).alias(to) for n, to in (("r_n", "by_l"), ("l_n", "by_r"))]
+        met = self._met().groupingSets([[F.col(c) for c in s] for s in sides], *[F.col(c) for s in sides for c in s]).agg(F.grouping(sides[0][0]).alias("axis"), *sums)
+        out = None
+        for axis, own, side, n in ((1, sides[0], self.lhs, "by_l"), (0, sides[1], self.rhs, "by_r")):
+            ids = side.df.select("term_id", *[F.col(k).alias(o) for k, o in zip(self.keys, own, strict=True)])
+            per_key = met.filter(F.col("axis") == 1 - axis).select(*own, F.col(n).alias("n"))
+            got = ids.join(per_key, own, "left").select(F.lit(axis).alias("axis"), F.col("term_id").alias("id"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+            out = got if out is None else out.union(got)
+        return out
+
+    def to_arrow(self):
+        """The edges as an Arrow table."""
+        return self.edges().toArrow()
 
     def row_offsets(self) -> DataFrame:
-        """row_id, start: exclusive running sum of the conflict degrees by row."""
-        before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-        return self.counts(1, False).select(F.col("id").alias("row_id"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start"))
+        """row_id, start: exclusive running sum of the conflict degrees by row, over ranges of rows."""
+        degrees = self.counts(1, False).select(F.col("id").alias("row_id"), "n")
+        return running_sum(degrees, F.col("row_id"), "n", "start").select("row_id", "start")
 
-    def csr(self) -> tuple[np.ndarray, np.ndarray]:
-        """row_offsets (rows + 1; [0] if a side is empty) and ascending col_indices."""
+    def csr(self, limit: int = guards.MAX_PAIR_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
+        """row_offsets (rows + 1; [0] if a side is empty) and ascending col_indices; at most `limit` of these."""
         rows, cols = self.shape
         if not rows or not cols:
             return np.zeros(1, np.uint64), np.zeros(0, np.uint64)
         degrees = self.conflict_degrees(1)
-        listed = self.edges().orderBy("row_id", "col_id").collect()
-        return np.concatenate(([0], np.cumsum(degrees))).astype(np.uint64), np.array([r.col_id for r in listed], np.uint64)
+        guards.checked_product(int(degrees.sum()), 1, limit, "limit")
+        listed = self.edges().orderBy("row_id", "col_id").select("col_id").toArrow().column(0).to_numpy()
+        return np.concatenate(([0], np.cumsum(degrees))).astype(np.uint64), listed.astype(np.uint64)
 
     def top_conflicts(self, k: int, axis: int = 1) -> DataFrame:
         """id, n of the k rows (axis 1) or columns with most conflicts; ties to the lower id."""

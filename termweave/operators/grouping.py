@@ -18,27 +18,28 @@ MAX_GRAPH_ENTRIES = 10_000_000
 
 
 def first_fit(x: np.ndarray, z: np.ndarray, full: bool, graph: bool) -> np.ndarray:
-    """Group numbers of terms (rows of mask words) in order. graph: conflicts are computed once for all pairs."""
-    groups: list[list] = []  # qwc: joined x and z; full: member rows
-    out = np.zeros(len(x), np.int64)
-    odd = lambda i, rows: np.bitwise_count((x[i] & z[rows]) ^ (z[i] & x[rows])).sum(axis=-1) & 1
-    conflicts = [odd(i, np.arange(len(x))).astype(bool) for i in range(len(x))] if full and graph else None
+    """Group numbers of terms (rows of mask words) in order; a term is tried on all groups at once.
+
+    graph: conflicts are computed once for all pairs. Work is the number of terms times that of groups (qwc) or terms (full).
+    """
+    out, used = np.zeros(len(x), np.int64), 0
+    if full:
+        odd = lambda i, upto: (np.bitwise_count((x[i] & z[:upto]) ^ (z[i] & x[:upto])).sum(axis=-1) & 1).astype(bool)
+        conflicts = [odd(i, len(x)) for i in range(len(x))] if graph else None
+        for i in range(len(x)):
+            closed = np.zeros(used + 1, bool)  # groups with a member that conflicts; the one past the last never has
+            closed[out[:i][conflicts[i][:i] if graph else odd(i, i)]] = True
+            out[i] = int(closed.argmin())
+            used = max(used, out[i] + 1)
+        return out
+    xs, zs = np.zeros((16, x.shape[1]), x.dtype), np.zeros((16, x.shape[1]), x.dtype)  # joined masks of the groups
     for i in range(len(x)):
-        for g, state in enumerate(groups):
-            if full:
-                fits = not (conflicts[i][state] if graph else odd(i, np.array(state))).any()
-            else:
-                fits = not ((x[i] & state[1]) ^ (z[i] & state[0])).any()
-            if fits:
-                break
-        else:
-            g = len(groups)
-            groups.append([] if full else [np.zeros_like(x[i]), np.zeros_like(z[i])])
-        if full:
-            groups[g].append(i)
-        else:
-            groups[g][0], groups[g][1] = groups[g][0] | x[i], groups[g][1] | z[i]
-        out[i] = g
+        if used == len(xs):
+            xs, zs = (np.concatenate((a, np.zeros_like(a))) for a in (xs, zs))
+        g = out[i] = int(((x[i] & zs[: used + 1]) ^ (z[i] & xs[: used + 1])).any(axis=1).argmin())  # an unused group takes all
+        used = max(used, g + 1)
+        xs[g] |= x[i]
+        zs[g] |= z[i]
     return out
 
 

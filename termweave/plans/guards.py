@@ -43,6 +43,8 @@ def tolerances(*values: float) -> None:
 
 def coefficient(c) -> complex:
     try:
+        if isinstance(c, (str, bytes)):
+            raise TypeError
         return complex(c)
     except (TypeError, ValueError):
         raise ValueError(f"a coefficient must be numeric, not {c!r}") from None

@@ -19,3 +19,8 @@ def paired(left: DataFrame, right: DataFrame, n_right: int, strategy: str = "aut
     if strategy == "broadcast" or strategy == "auto" and n_right <= BROADCAST_TERMS:
         return left.crossJoin(F.broadcast(right))
     return left.hint("shuffle_replicate_nl").crossJoin(right)
+
+
+def counted(df: DataFrame, limit: int = BROADCAST_TERMS) -> int:
+    """Rows of df, or limit + 1 if there are more."""
+    return df.limit(limit + 1).count()

@@ -78,6 +78,32 @@ def s04_simplify_ordered(spark, sf_dir) -> DataFrame:
     return part_op(spark, sf_dir).simplify(deterministic=True).df
 
 
+def s10_simplify_exact(spark, sf_dir) -> DataFrame:
+    """Summed as decimals: the same in any order."""
+    return algebra.simplified(lineitem_op(spark, sf_dir).df, 6, exact=True)
+
+
+def s11_simplify_widthless(spark, sf_dir) -> DataFrame:
+    """Terms without qubits are one term."""
+    return algebra.simplified(supplier_op(spark, sf_dir).df.select("term_id", "re", "im"), 0)
+
+
+def c02_empty_sum(spark, sf_dir) -> DataFrame:
+    """No terms, and the suppliers' added to them."""
+    return (OperatorFrame.empty(spark, 8) + supplier_op(spark, sf_dir)).df
+
+
+def g07_both_degrees(spark, sf_dir) -> DataFrame:
+    return _relation(spark, sf_dir).both_degrees()
+
+
+def e05_expectation_without_terms(spark, sf_dir) -> DataFrame:
+    """A sum without terms has no expectation in any state; the states keep theirs, 0."""
+    none = supplier_op(spark, sf_dir, 6).df.limit(0)
+    got = expect.statevector_expectation(none, _states(spark, sf_dir), ["vec_id"])
+    return _states(spark, sf_dir).select("vec_id").distinct().join(got, "vec_id", "left").select("vec_id", F.coalesce("re", F.lit(0.0)).alias("re"))
+
+
 def j01_matmul_raw(spark, sf_dir) -> DataFrame:
     return part_op(spark, sf_dir).matmul(supplier_op(spark, sf_dir), simplify=False).df
 
@@ -170,7 +196,7 @@ def o02_sort_by_weight(spark, sf_dir) -> DataFrame:
     return part_op(spark, sf_dir).sort(by_weight=True).df
 
 
-QUERIES = {f.__name__: f for f in (c01_zero_terms, c03_parse_labels, c05_sparse_terms, c06_phased_labels, p01_render_labels, p02_sparse_terms, p05_scale, p06_weight, u01_add, s01_simplify_lineitem, s01_simplify_rtol, s04_simplify_ordered, j01_matmul_raw, j01_matmul_simplify, j06_commutes_pairs, j11_qwc_pairs, j12_self_conflicts, g01_count_total, g02_count_rows, g03_count_cols, g04_conflict_degrees, g06_edges, g06_row_offsets, g08_topk_conflicts, k02_group_qwc, k03_group_full, e01_expectation_embeddings, e03_expectation_diagonal, e06_z_counts, o02_sort_by_weight)}
+QUERIES = {f.__name__: f for f in (c01_zero_terms, c03_parse_labels, c05_sparse_terms, c06_phased_labels, p01_render_labels, p02_sparse_terms, p05_scale, p06_weight, u01_add, s01_simplify_lineitem, s01_simplify_rtol, s04_simplify_ordered, j01_matmul_raw, j01_matmul_simplify, j06_commutes_pairs, j11_qwc_pairs, j12_self_conflicts, g01_count_total, g02_count_rows, g03_count_cols, g04_conflict_degrees, g07_both_degrees, c02_empty_sum, s10_simplify_exact, s11_simplify_widthless, e05_expectation_without_terms, g06_edges, g06_row_offsets, g08_topk_conflicts, k02_group_qwc, k03_group_full, e01_expectation_embeddings, e03_expectation_diagonal, e06_z_counts, o02_sort_by_weight)}
 
 # ---- DuckDB --------------------------------------------------------------------------------------------------------
 
@@ -209,11 +235,16 @@ ORACLE_SQL = {
     "p02_sparse_terms": f"select p_partkey term_id, replace(reverse({_LABEL}), 'I', '') as local, array_to_string(list_filter(range(96), lambda q: substr({_LABEL}, (96 - q)::bigint, 1) <> 'I'), ',') qubits from part",
     "p05_scale": f"select id term_id, x x0, z z0, re * 2 + im * 3 re, re * -3 + im * 2 im from {_S}",
     "p06_weight": f"select id term_id, bit_count(x | z)::int weight, bit_count(x & z)::int y_count, x = 0 diagonal from {_P}",
-    "u01_add": f"select id term_id, x x0, z z0, re, im from {_P} union all select id + (select count(*) from part), x, z, re, im from {_S}",
+    "u01_add": f"select id term_id, x x0, z z0, re, im from {_P} union all select id + (select max(p_partkey) + 1 from part), x, z, re, im from {_S}",
     "s01_simplify_lineitem": f"select x x0, z z0, sum(re) re, sum(im) im from {_L} group by x, z having sqrt(sum(re) * sum(re) + sum(im) * sum(im)) > 1e-12",
     "s01_simplify_rtol": f"select x x0, z z0, sum(re) re, sum(im) im from {_L} group by x, z having sqrt(sum(re) * sum(re) + sum(im) * sum(im)) > 0.25 + 7.0 * (select max(sqrt(re * re + im * im)) from {_L})",
     "s04_simplify_ordered": f"select (row_number() over (order by x, z) - 1)::bigint term_id, x x0, z z0, re, im from (select x, z, sum(re) re, sum(im) im from {_P} group by x, z having abs(sum(re)) > 1e-12)",
-    "j01_matmul_raw": f"select l * (select count(*) from supplier) + r term_id, x x0, z z0, {_TURNED} re, {_TURNED_IM} im from {_PRODUCT}",
+    "s10_simplify_exact": f"select x x0, z z0, sum(re) re, sum(im) im from {_L} group by x, z having sqrt(sum(re) * sum(re) + sum(im) * sum(im)) > 1e-12",
+    "s11_simplify_widthless": f"select sum(re) re, sum(im) im from {_S}",
+    "c02_empty_sum": f"select id term_id, x x0, z z0, re, im from {_S}",
+    "g07_both_degrees": f"select 1::int axis, a.id, sum(case when {_ODD} then 1 else 0 end)::bigint n from {_P} a cross join {_S} b group by a.id union all select 0::int, b.id, sum(case when {_ODD} then 1 else 0 end)::bigint from {_P} a cross join {_S} b group by b.id",
+    "e05_expectation_without_terms": "select vec_id, 0.0::double re from embeddings",
+    "j01_matmul_raw": f"select l * (select max(s_suppkey) + 1 from supplier) + r term_id, x x0, z z0, {_TURNED} re, {_TURNED_IM} im from {_PRODUCT}",
     "j01_matmul_simplify": f"select x x0, z z0, sum(re) re, sum(im) im from (select x, z, {_TURNED} re, {_TURNED_IM} im from {_PRODUCT}) group by x, z having sqrt(sum(re) * sum(re) + sum(im) * sum(im)) > 1e-12",
     "j06_commutes_pairs": f"select a.id lhs_id, b.id rhs_id, not {_ODD} commutes from {_P} a cross join {_S} b",
     "j11_qwc_pairs": f"select a.id lhs_id, b.id rhs_id, xor(a.x & b.z, a.z & b.x) = 0 commutes from {_P} a cross join {_S} b",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.codec import PHASES
+from ..plans import guards
 
 _PHASED = re.compile(r"(-i|\+i|i|-|\+)?([IXYZ]*)")
 
@@ -48,6 +49,8 @@ def openfermion_terms(op, num_qubits: int | None = None) -> tuple[list[tuple[str
     kind = _library("openfermion", "install openfermion to convert its operators").QubitOperator
     if not isinstance(op, kind):
         raise TypeError("expected a QubitOperator")
+    if num_qubits is not None:
+        guards.qubits(num_qubits)
     least = max((q + 1 for term in op.terms for q, _ in term), default=0)
     if num_qubits is not None and num_qubits < least:
         raise ValueError("num_qubits is too small for the operator's qubits")

@@ -1,13 +1,21 @@
 """Fixtures and dense oracles for the operator engine."""
 
+import dataclasses
+import datetime
 import itertools
+import sys
+import types
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termweave.frame import OperatorFrame as O
-from termweave.plans import guards
+from termweave.plans import guards, storage
+from termweave.plans.strategy import paired
+from termweave.runtime import build_info, capabilities
 from termweave.sources import adapters
+from termweave.streaming import incremental
 
 P = {"I": np.eye(2), "X": np.array([[0, 1], [1, 0]]), "Y": np.array([[0, -1j], [1j, 0]]), "Z": np.diag([1, -1])}
 
@@ -212,3 +220,122 @@ def test_simplify_is_idempotent(spark):
     op = random_op(spark, 2, 40, 8).simplify()
     assert of(op) == of(op.simplify())
     assert sorted(of(op)) == sorted(set(of(op))) and len(list(itertools.product("IXYZ", repeat=2))) >= op.num_terms
+
+
+def test_sparse_ids_stay_apart(spark):
+    terms = lambda ids: O.from_df(spark.createDataFrame([(i, 1, 0, 1.0) for i in ids], "i long, x0 long, z0 long, c double"), 2, masks={"x0": F.col("x0"), "z0": F.col("z0")}, re=F.col("c"), term_id=F.col("i"))
+    a, b = terms([0, 7]), terms([5, 9])
+    assert sorted(r.term_id for r in (a + b).df.collect()) == [0, 7, 13, 17]
+    assert sorted(r.term_id for r in (a + b + a).df.collect()) == [0, 7, 13, 17, 18, 25]
+    ids = [r.term_id for r in a.matmul(b, simplify=False).df.collect()]
+    assert len(set(ids)) == 4 and (O.empty(spark, 2) + b).id_span == 10
+
+
+def test_forms_of_the_relation(spark):
+    op, other = random_op(spark, 3, 20, 5), random_op(spark, 3, 12, 6)
+    full = op.commutes_with(other)
+    rel = op.relation(other)
+    got = {(r.axis, r.id): r.n for r in rel.both_degrees().collect()}
+    assert got == {(1, i): int(n) for i, n in enumerate((~full).sum(1))} | {(0, i): int(n) for i, n in enumerate((~full).sum(0))}
+    assert {(r.axis, r.id): r.n for r in rel.both_degrees(commuting=True).collect()} == {(1, i): int(n) for i, n in enumerate(full.sum(1))} | {(0, i): int(n) for i, n in enumerate(full.sum(0))}
+    out = np.zeros(240, bool)
+    assert op.commutes_with(other, output=out) is out and (out.reshape(20, 12) == full).all()
+    assert rel.to_arrow().num_rows == (~full).sum()
+    with pytest.raises(ValueError, match="limit"):
+        rel.csr(limit=3)
+    for strategy in ("broadcast", "shuffle"):
+        assert op.relation(other, strategy=strategy).count_commuting() == full.sum()
+    with pytest.raises(RuntimeError, match="forced"):
+        paired(op.df, other.df, 10**9, "broadcast")
+    plan = rel.total()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
+
+
+def test_packed_keys(spark):
+    for n in (1, 31, 32):
+        labels = ["Z" + "I" * (n - 1), "Y" * n, "I" * (n - 1) + "X", "Y" * n]
+        assert of(O.from_labels(spark, labels, [1, 2, 3, 4]).simplify()) == {labels[0]: 1, labels[1]: 6, labels[2]: 3}
+
+
+def test_capabilities(spark):
+    got = capabilities(spark)
+    assert got.spark_version == spark.version and got.strategies == ("auto", "broadcast", "shuffle") and build_info()["numpy"] == np.__version__
+    with pytest.raises(dataclasses.FrozenInstanceError):
+        got.master = "x"
+
+
+def test_storage_needs_a_shared_folder(spark):
+    other = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *a: None), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(other)
+    other.conf.get = lambda *a: "hdfs:///shared/"
+    assert storage.shared_dir(other) == "hdfs:///shared"
+
+
+class SparsePauliOp:
+    def __init__(self, labels, coeffs):
+        self.paulis = types.SimpleNamespace(to_labels=lambda: list(labels))
+        self.coeffs, self.num_qubits = coeffs, len(labels[0]) if len(labels) else 2
+
+
+class QubitOperator:
+    def __init__(self, term=(), c=1.0):
+        self.terms = {tuple(term): c}
+
+    def __iadd__(self, other):
+        self.terms |= other.terms
+        return self
+
+
+def test_adapters_with_stand_ins(spark, monkeypatch):
+    monkeypatch.setitem(sys.modules, "qiskit", types.ModuleType("qiskit"))
+    monkeypatch.setitem(sys.modules, "qiskit.quantum_info", types.SimpleNamespace(SparsePauliOp=SparsePauliOp))
+    op = O.from_qiskit(spark, SparsePauliOp(["-iXY", "ZI"], [2, 1j]))
+    assert op.num_qubits == 2 and of(op) == {"XY": -2j, "ZI": 1j}
+    back = op.to_qiskit()
+    assert back.paulis.to_labels() == ["XY", "ZI"] and list(back.coeffs) == [-2j, 1j]
+    assert O.from_qiskit(spark, SparsePauliOp([], [])).num_terms == 0
+    with pytest.raises(TypeError, match="SparsePauliOp"):
+        O.from_qiskit(spark, 3)
+    monkeypatch.setitem(sys.modules, "openfermion", types.SimpleNamespace(QubitOperator=QubitOperator))
+    fermi = QubitOperator(((0, "X"), (2, "Z")), 0.5)
+    fermi += QubitOperator((), 2)
+    op = O.from_openfermion(spark, fermi)
+    assert op.num_qubits == 3 and of(op) == {"ZIX": 0.5, "III": 2}
+    assert O.from_openfermion(spark, fermi, 5).num_qubits == 5 and op.to_openfermion().terms[(0, "X"), (2, "Z")] == 0.5
+    for width, error in ((2, ValueError), (-1, ValueError), (2.5, TypeError), (True, TypeError)):
+        with pytest.raises(error):
+            O.from_openfermion(spark, fermi, width)
+    with pytest.raises(TypeError, match="QubitOperator"):
+        O.from_openfermion(spark, "x")
+
+
+def test_streaming_windows_and_histograms(spark, tmp_path):
+    rows = [(datetime.datetime(2024, 1, 1, 0, m), 1, 0, float(m), 0.0) for m in (1, 2, 11, 12)]
+    spark.createDataFrame(rows, "at timestamp, x0 long, z0 long, re double, im double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("at timestamp, x0 long, z0 long, re double, im double").parquet(str(tmp_path / "in"))
+    q = incremental.windowed_terms(stream, 1, "at", "10 minutes", "5 minutes").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.re for r in spark.table("windows").collect()) == [3.0, 23.0]
+    spark.createDataFrame([("01", 2.0), ("11", 3.0), ("01", 5.0)], "bitstring string, cnt double").coalesce(1).write.parquet(str(tmp_path / "hist"))
+    stream = spark.readStream.schema("bitstring string, cnt double").parquet(str(tmp_path / "hist"))
+    q = incremental.running_histogram(stream, 2).writeStream.format("memory").queryName("histogram").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.b0: r.cnt for r in spark.table("histogram").collect()} == {1: 7.0, 3: 3.0}
+
+
+def test_persisted_terms(spark):
+    op = random_op(spark, 2, 6, 3).persist()
+    assert op.df.is_cached and of(op) and not op.unpersist().df.is_cached
+    with pytest.raises(ValueError, match="numeric"):
+        op * "3"
+    assert op.to_arrow().num_rows == 6
+
+
+def test_exact_sums(spark):
+    values = [2.0**30, 0.25, -(2.0**30), 2.0**-32] * 3
+    labels = ["X"] * len(values)
+    got = {seed: of(O.from_labels(spark, labels, list(np.random.default_rng(seed).permutation(values))).simplify(exact=True))["X"] for seed in range(3)}
+    assert set(got.values()) == {0.75 + 3 * 2.0**-32}
+    with pytest.raises(Exception, match="exact sums need"):
+        of(O.from_labels(spark, ["X"], [0.1]).simplify(exact=True))
