@@ -8,10 +8,12 @@ of an accepted one is suppressed. Base phrases (word sequences) are counted apar
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,26 +37,26 @@ FAMILIES = (
     ("apache", r"apache(?: software)?", "apache", ("1 0", "1 1", "2 0")),
     ("mit", r"(?:mit|expat|x11)", "mit|expat|x11", ("",)),
     ("bsd", r"(?:new |modified |simplified )?bsd(?: [234] clause| style)?", "bsd", ("",)),
-    ("gpl", r"(?:gnu )?(?:gpl|general public licen[sc]e)", "g", ("1", "2", "3", "2 0", "3 0")),
-    ("lgpl", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e|library general public licen[sc]e)", "l", ("2", "2 0", "2 1", "3", "3 0")),
-    ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[sc]e)", "a", ("1", "3", "3 0")),
-    ("mpl", r"(?:mpl|mozilla public licen[sc]e)", "m", ("1 0", "1 1", "2 0")),
-    ("epl", r"(?:epl|eclipse public licen[sc]e)", "e", ("1 0", "2 0")),
-    ("cddl", r"(?:cddl|common development and distribution licen[sc]e)", "c", ("1 0", "1 1")),
-    ("cpl", r"(?:cpl|common public licen[sc]e)", "c", ("1 0",)),
-    ("eupl", r"(?:eupl|european union public licen[sc]e)", "eu", ("1 1", "1 2")),
+    ("gpl", r"(?:gnu )?(?:gpl|general public licen[sc]e)", "gpl|general public", ("1", "2", "3", "2 0", "3 0")),
+    ("lgpl", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e|library general public licen[sc]e)", "lgpl|lesser general|library general", ("2", "2 0", "2 1", "3", "3 0")),
+    ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[sc]e)", "agpl|affero", ("1", "3", "3 0")),
+    ("mpl", r"(?:mpl|mozilla public licen[sc]e)", "mpl|mozilla", ("1 0", "1 1", "2 0")),
+    ("epl", r"(?:epl|eclipse public licen[sc]e)", "epl|eclipse", ("1 0", "2 0")),
+    ("cddl", r"(?:cddl|common development and distribution licen[sc]e)", "cddl|common development", ("1 0", "1 1")),
+    ("cpl", r"(?:cpl|common public licen[sc]e)", "cpl|common public", ("1 0",)),
+    ("eupl", r"(?:eupl|european union public licen[sc]e)", "eupl|european union", ("1 1", "1 2")),
     ("artistic", r"artistic", "artistic", ("1 0", "2 0")),
     ("boost", r"boost software", "boost", ("1 0",)),
     ("isc", r"isc", "isc", ("",)),
     ("zlib", r"zlib(?: libpng)?", "zlib", ("",)),
     ("unlicense", r"unlicen[sc]e", "unlicen", ("",)),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[sc]e)", "w", ("2",)),
-    ("python", r"(?:python software foundation|psf)", "p", ("2",)),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[sc]e)", "wtfpl|want to public", ("2",)),
+    ("python", r"(?:python software foundation|psf)", "python software|psf", ("2",)),
     ("openssl", r"openssl", "openssl", ("",)),
     ("ofl", r"(?:sil open font licen[sc]e|sil ofl|ofl)", "ofl|open font", ("1 0", "1 1")),
     ("odbl", r"(?:open database licen[sc]e|odbl)", "odbl|open database", ("1 0",)),
     ("upl", r"universal permissive", "universal permissive", ("1 0",)),
-    ("ms-pl", r"(?:microsoft public licen[sc]e|ms pl)", "m", ("",)),
+    ("ms-pl", r"(?:microsoft public licen[sc]e|ms pl)", "microsoft public|ms pl", ("",)),
     ("ecl", r"educational community", "educational community", ("1 0", "2 0")),
     ("afl", r"academic free", "academic free", ("2 1", "3 0")),
     ("osl", r"open software", "open software", ("2 1", "3 0")),
@@ -148,20 +150,55 @@ def normalise(text: str | None) -> tuple[bytes, int]:
     return b" " + b" ".join(words) + b" ", len(words)
 
 
-def base_places(words: bytes, base: Iterable = BASE) -> list[tuple[int, str]]:
+class Places:
+    """Word numbers of places in normalised words: the spaces are found once, on first use."""
+
+    def __init__(self, words: bytes):
+        self.words, self.spaces = words, None
+
+    def of(self, at: int) -> int:
+        """How many spaces stand before a place."""
+        if self.spaces is None:
+            self.spaces = np.flatnonzero(np.frombuffer(self.words, np.uint8) == 32)
+        return int(np.searchsorted(self.spaces, at))
+
+
+def base_places(words: bytes, base: Iterable = BASE, places: Places | None = None) -> list[tuple[int, str]]:
     """(first word's number, label) of every place where a base phrase stands."""
-    out = []
+    out, places = [], places or Places(words)
     for phrase, label in base:
         sought = b" " + phrase.encode() + b" "
         at = words.find(sought)
         while at >= 0:
-            out.append((words.count(b" ", 0, at), label))
+            out.append((places.of(at), label))
             at = words.find(sought, at + 1)
     return sorted(out)
 
 
-def detections(words: bytes) -> list[tuple[str, int, int, float]]:
-    """Accepted detections as (label, first word, word after the last, weight), by place."""
+class Cover:
+    """Which intervals lie inside an accepted one: the furthest end by start, in a tree of prefix maxima."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.furthest = [-1] * (len(self.starts) + 1)
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        while i:
+            if self.furthest[i] >= b:
+                return True
+            i &= i - 1
+        return False
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_right(self.starts, a)
+        while i < len(self.furthest):
+            self.furthest[i] = max(self.furthest[i], b)
+            i += i & -i
+
+
+def detections(words: bytes, places: Places | None = None) -> list[tuple[str, int, int, float]]:
+    """Accepted detections as (label, first word, word after the last, weight), by place; O(n log n) in their number."""
     if not gated(words):
         return []
     found = []
@@ -170,18 +207,20 @@ def detections(words: bytes) -> list[tuple[str, int, int, float]]:
             for r in own:
                 for m in r.pattern.finditer(words):
                     found.append((-r.priority, m.start() - m.end(), m.start(), m.end(), r))
-    kept: list[tuple[int, int, Rule]] = []
+    places, cover = places or Places(words), Cover([x[2] for x in found])
+    kept = []
     for _, _, a, b, r in sorted(found, key=lambda x: x[:4] + (x[4].label,)):
-        if not any(c <= a and b <= d for c, d, _ in kept):
-            kept.append((a, b, r))
-    place = lambda at: words.count(b" ", 0, at)
-    return sorted((r.label, place(a), place(b), r.weight) for a, b, r in kept)
+        if not cover.holds(a, b):
+            cover.add(a, b)
+            kept.append((r.label, places.of(a), places.of(b), r.weight))
+    return sorted(kept)
 
 
 def scan(text: str | None) -> dict:
     """All of a text: n_words, base places, detections, labels and score (1 - the product of 1 - weight)."""
     words, n = normalise(text)
-    base, found = base_places(words), detections(words)
+    places = Places(words)
+    base, found = base_places(words, places=places), detections(words, places)
     doubt = 1.0
     for w in [0.6] * len({b for _, b in base}) + [w for *_, w in found]:
         doubt *= 1 - w
@@ -214,4 +253,9 @@ def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
+    """What scan() finds in every whole text of `documents`; null and empty texts have no words, no labels and score 0.
+
+    The rules' labels are no SQL; tests/llm compares the base columns with a search word by word and the rules with
+    texts that spell every alternative.
+    """
     return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
