@@ -8,20 +8,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import remove, removed_at_exit, shared_dir
+
 #: Rows of 16-byte keys (a few tens of MB as a hash table) up to which a counted side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the cluster's spark.checkpoint.dir, or one for tests where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-
-
 class Scratch:
-    """Intermediate tables as Parquet under the shared folder: they cut lineage and outlive any executor."""
+    """Intermediate tables as Parquet under the shared folder: they cut lineage and outlive any executor.
+
+    What isn't dropped before goes when the driver ends, for lazy results read it until then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        removed_at_exit(spark, self.root)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -33,12 +34,14 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Frees a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, df._scratch_path)
 
     def sweep(self) -> None:
-        """Frees the shuffle files of finished steps: Spark deletes them once the driver has collected their plans."""
+        """Frees the shuffle files of finished steps: Spark deletes them once the driver has collected their plans.
+
+        Only a hint: results don't depend on it, but without it the disk holds finished shuffles until the driver next
+        collects its garbage by itself.
+        """
         self.spark._jvm.System.gc()
 
 
