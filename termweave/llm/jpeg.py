@@ -7,7 +7,8 @@ share a scan's parameters are lanes of the same vectorised steps, so long or man
 
 The writer stores bytes losslessly as the format's unit, quantised coefficients: byte b becomes b - 130 below 128 and
 b - 125 from there, 4:2:0, six blocks of 64 in each 16 x 16 unit, quantisers of 1. Its scans: DC by one bit less, AC of Y
-in two bands, AC of Cb and Cr, each by one bit less, then the last bit of all.
+in two bands, AC of Cb and Cr, each by one bit less, then the last bit of all. A comment segment holds the number of bytes,
+so that a file alone gives its payload back.
 """
 
 from __future__ import annotations
@@ -168,6 +169,10 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
+#: How the comment segment with the payload's size begins.
+_SIZE = b"payload bytes: "
+
+
 def write(payloads: list[bytes]) -> list[bytes]:
     """A progressive JPEG for each payload (a positive multiple of 576 bytes)."""
     dc, ac = writer_tables()
@@ -233,8 +238,9 @@ def write(payloads: list[bytes]) -> list[bytes]:
         sos.append(_segment(0xDA, bytes([len(comps)]) + b"".join(bytes([c + 1, 0]) for c in comps) + bytes([rest[0], rest[1], rest[2] << 4 | rest[3]])))
     out = []
     for i, (c, r) in enumerate(shapes):
+        size = _segment(0xFE, _SIZE + str(len(payloads[i])).encode())
         frame = _segment(0xC2, struct.pack(">BHHB", 8, 16 * r, 16 * c, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
-        out.append(b"".join([head, frame, tail, *[x for h, (_, data) in zip(sos, scans, strict=True) for x in (h, data[i])], b"\xff\xd9"]))
+        out.append(b"".join([head, size, frame, tail, *[x for h, (_, data) in zip(sos, scans, strict=True) for x in (h, data[i])], b"\xff\xd9"]))
     return out
 
 
@@ -255,6 +261,7 @@ class File:
         self.quantisers: dict[int, np.ndarray] = {}
         self.comps: list[Component] = []
         self.scans: list[tuple] = []
+        self.payload: int | None = None  # as write() tells it
         tables: dict[int, Table] = {}
         restart, at = 0, 2
         while at + 4 <= len(data):
@@ -266,11 +273,15 @@ class File:
             size = struct.unpack_from(">H", data, at + 2)[0]
             body = data[at + 4 : at + 2 + size]
             at += 2 + size
-            if marker == 0xC2:
+            if marker == 0xFE and body.startswith(_SIZE) and body[len(_SIZE) :].isdigit():
+                self.payload = int(body[len(_SIZE) :])
+            elif marker == 0xC2:
                 bits, self.height, self.width, n = struct.unpack_from(">BHHB", body)
                 self.comps = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
                 if bits != 8 or n not in (1, 3):
                     raise ValueError("only 8 bits and one or three components")
+                if not (self.height and self.width and all(c.h in (1, 2, 4) and c.v in (1, 2, 4) for c in self.comps)):
+                    raise ValueError("an empty image or odd sampling factors")
                 self.hmax, self.vmax = max(c.h for c in self.comps), max(c.v for c in self.comps)
                 self.mx, self.my = -(-self.width // (8 * self.hmax)), -(-self.height // (8 * self.vmax))
                 for c in self.comps:
@@ -300,6 +311,13 @@ class File:
                 coded = [tables.get((0x00 if not low else 0x10) | (t >> 4 if not low else t & 15)) for t in ids]
                 self.scans.append((tuple(which), low, top, approx >> 4, approx & 15, coded, restart, data[at:end]))
                 at = end
+        self.check()
+
+    def check(self) -> None:
+        """Before anything is allocated: each block takes a bit of a first DC scan at least, so a file can't claim more than it holds."""
+        for i, c in enumerate(self.comps):
+            if c.real[0] * c.real[1] > sum(8 * len(s[-1]) for s in self.scans if i in s[0] and not s[1] and not s[3]):
+                raise ValueError("more blocks than bits")
 
 
 _SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
@@ -565,22 +583,40 @@ def read(medias: list[bytes]) -> list[tuple[File, list[np.ndarray], np.ndarray]]
 
 
 def payload_of(f: File, blocks: list[np.ndarray]) -> bytes:
-    """The payload that write() stored."""
+    """The payload that write() stored, from the file alone; without its size in the file, all samples."""
     units = f.mx * f.my
     v = np.empty((units, 6, 64), np.int32)
     y = blocks[0].reshape(f.my, 2, f.mx, 2, 64).transpose(0, 2, 1, 3, 4).reshape(units, 4, 64)
     v[:, :4], v[:, 4], v[:, 5] = y, blocks[1], blocks[2]
-    data = from_coefficients(v).tobytes()
-    return data
+    return from_coefficients(v).tobytes()[: f.payload]
 
 
 def media_rows(texts: list[bytes]):
-    """For each text: payload bytes read back, media bytes, RGB tensor. The payload's size travels with the text's."""
+    """For each text: payload bytes read back from the media bytes alone, media bytes, RGB tensor."""
     for a, b in chunks(texts, 1_500_000):
         padded = [t + b"\xff" * (max(1, -(-len(t) // UNIT)) * UNIT - len(t)) for t in texts[a:b]]
         medias = write(padded)
-        for p, m, (f, blocks, rgb) in zip(padded, medias, read(medias), strict=True):
-            yield payload_of(f, blocks)[: len(p)], m, rgb
+        for m, (f, blocks, rgb) in zip(medias, read(medias), strict=True):
+            yield payload_of(f, blocks), m, rgb
+
+
+#: Bytes of media and tensors that are sent to the JVM at a time, one row at least.
+SENT = 16_000_000
+
+
+def _sent(rows, kinds: list, names: list[str]):
+    """Arrow batches of rows (tuples), cut by their bytes."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= SENT:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names)
 
 
 def feature(rgb: np.ndarray) -> str:
@@ -602,9 +638,9 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                got = [(m, *x.shape[:2], x.tobytes() if keep_tensor else None) for _, m, x in media_rows(utf8(part.column(1)))]
-                kinds = pa.binary(), pa.int32(), pa.int32(), pa.binary()
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]], ["doc_id", "media", "height", "width", "rgb"])
+                got = zip(part.column(0).to_pylist(), media_rows(utf8(part.column(1))), strict=True)
+                rows = ((i, m, *x.shape[:2], x.tobytes() if keep_tensor else None) for i, (_, m, x) in got)
+                yield from _sent(rows, [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()], ["doc_id", "media", "height", "width", "rgb"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, media binary, height int, width int, rgb binary")
 
@@ -615,15 +651,16 @@ def tensors(media: DataFrame, *, media_col: str = "media", id_col: str = "doc_id
     def run(batches):
         import pyarrow as pa
 
+        def row(i, m):
+            try:
+                rgb = read([m])[0][2] if m is not None else None
+            except (ValueError, struct.error, IndexError, StopIteration, KeyError, AttributeError):
+                rgb = None
+            return (i, *rgb.shape[:2], rgb.tobytes()) if rgb is not None else (i, None, None, None)
+
         for batch in batches:
-            rows = []
-            for m in batch.column(1).to_pylist():
-                try:
-                    rgb = read([m])[0][2] if m is not None else None
-                except (ValueError, struct.error, IndexError, StopIteration, KeyError, AttributeError):
-                    rgb = None
-                rows.append((*rgb.shape[:2], rgb.tobytes()) if rgb is not None else (None, None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))]], ["doc_id", "height", "width", "rgb"])
+            rows = (row(i.as_py(), m.as_py()) for i, m in zip(batch.column(0), batch.column(1), strict=True))
+            yield from _sent(rows, [pa.int64(), pa.int32(), pa.int32(), pa.binary()], ["doc_id", "height", "width", "rgb"])
 
     return media.select(F.col(id_col).cast("long").alias("doc_id"), media_col).mapInArrow(run, "doc_id long, height int, width int, rgb binary")
 
@@ -648,4 +685,8 @@ def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op4_progressive_jpeg(spark, sf_dir: str) -> DataFrame:
+    """What every document's text is stored as and reads back to, as digests; cases as media_columns.
+
+    Media are no SQL; tests/llm compares the round trip byte by byte and the tensors with an inverse transform of its own.
+    """
     return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
