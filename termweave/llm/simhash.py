@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, shingle_hashes
+from .common import Scratch, chunks, shingle_hashes, small_side
 
 SHINGLE = 5
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -146,12 +146,30 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks:
     and fingerprints equal to the query give no pair. Queries are a stated set; each meets the index once a table.
     """
     q = queries.select(F.col("fingerprint").alias("q_fingerprint")).na.drop().distinct()
-    q = q.select("q_fingerprint", F.explode(block_keys(F.col("q_fingerprint"), radius, blocks)).alias("k")).select("q_fingerprint", "k.table", "k.key")
+    q = small_side(q.select("q_fingerprint", F.explode(block_keys(F.col("q_fingerprint"), radius, blocks)).alias("k")).select("q_fingerprint", "k.table", "k.key"))
     x = index.select("fingerprint").na.drop().distinct()
     x = x.select("fingerprint", F.explode(block_keys(F.col("fingerprint"), radius, blocks)).alias("k")).select("fingerprint", "k.table", "k.key")
     gap = F.bit_count(F.col("q_fingerprint").bitwiseXOR(F.col("fingerprint"))).cast("int")
     return q.join(x, ["table", "key"]).select("q_fingerprint", "fingerprint", gap.alias("distance")).filter((F.col("distance") <= radius) & (F.col("distance") > 0)).distinct()
 
 
+def neighbours(found: DataFrame, every: int = 20, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """found (doc_id, fingerprint as 16 hexadecimal digits, ...) with n_near: for each id divisible by `every`, how many other
+    fingerprints of the whole table lie within the radius; null for other ids and null ones.
+    """
+    bits = F.conv("fingerprint", 16, -10).cast("long")
+    known = found.select("doc_id", bits.alias("fingerprint"))
+    near = within_radius(known.filter(F.col("doc_id") % every == 0), known, radius, blocks)
+    near = Scratch(found.sparkSession, "neighbours").table(near.groupBy("q_fingerprint").agg(F.count("*").alias("n")))
+    asked = F.when(F.col("doc_id") % every == 0, bits)
+    return found.withColumn("asked", asked).join(small_side(near), F.col("asked") == F.col("q_fingerprint"), "left").withColumn("n_near", F.when(F.col("asked").isNotNull(), F.coalesce("n", F.lit(0)))).drop("asked", "q_fingerprint", "n")
+
+
 def op5_simhash_edits(spark, sf_dir: str) -> DataFrame:
-    return edit_sensitivity(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Fingerprints of every document and of its edited text, and n_near, how many others of the whole table lie within three
+    bits, for the ids divisible by 20 (the queries of the block tables). Cases as edit_sensitivity.
+
+    Fingerprints are no SQL; tests/llm compares them with votes bit by bit, and n_near with all pairs.
+    """
+    found = Scratch(spark, "fingerprints").table(edit_sensitivity(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return neighbours(found)
