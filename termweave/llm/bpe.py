@@ -164,8 +164,8 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>, decoded string: a row for each row of docs.
+def encode_documents(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """doc_id, ids array<int>, and decoded string if that is asked for: a row for each row of docs.
 
     Null text counts as empty: no ids, decoded "". Repeated rows and null ids come out as they went in; an empty table
     gives an empty result; other columns aren't read. path: the vocabulary file's place on the executors.
@@ -179,10 +179,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, id_col: str =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                arrays = [part.column(0), pa.array(ids, pa.list_(pa.int32())), *([pa.array([bpe.decode(i) for i in ids], pa.string())] if decode else [])]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"][: len(arrays)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded string" * decode)
 
 
 def token_digests(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,4 +208,8 @@ def token_digests(docs: DataFrame, path: str | None = None, *, id_col: str = "do
 
 
 def op6_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:
+    """Number of ids and digests of ids and decoded text of every document; null and empty texts have no ids and decode to "".
+
+    Byte-pair merges are no SQL; tests/llm compares ids and decoded texts with the tokenizers library.
+    """
     return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

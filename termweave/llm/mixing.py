@@ -132,4 +132,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; cases as mix_sources.
+
+    The draws are no SQL; tests/llm checks sizes, targets and limits against fractions and the mean over seeds.
+    """
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
