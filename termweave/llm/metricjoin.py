@@ -1,4 +1,4 @@
-"""Exact Jaccard join of shingle sets, by metric-space regions, pivots and triangle-inequality windows.
+"""Exact Jaccard join of shingle sets, by metric-space regions, Voronoi cells of pivots and triangle-inequality windows.
 
 The Jaccard distance d is a metric, but unrelated documents all lie at distance 1 from every document pivot, so Voronoi
 regions of document pivots alone would have to replicate every document into every region. Regions are therefore opened
@@ -7,12 +7,18 @@ t = floor(2u (1 - s) / (1 + s)) shingles, so of t + 1 + slack slices by shingle
 them not empty. Each document stands in the regions of its slices, and is replicated over the border of its size class
 by the window |x| >= s |y|. This keeps every link.
 
-In a region the smallest document is the pivot and meets every other one. Documents within the threshold of the pivot
-are linked to it, and so are in one component without meeting each other. If any lie farther, the region is cut into
-rings by distance from the pivot; by the triangle inequality a link spans at most one threshold of distance, so each ring
-takes over a window of that width from below, and joins again by itself; the innermost ball needs no join of its own.
-Documents that the stars have put in the pivot's component needn't meet each other; the others meet all of their ring,
-block by block where it is large.
+In a region the smallest document is the first pivot and meets every other one. Documents within the threshold e of the
+pivot are linked to it, and so are in one component without meeting each other. A region of more than REGION documents
+that isn't joined by that is cut again: up to PIVOTS of the documents outside the pivot's component become pivots, every
+document goes to the cell of its nearest pivot, and into each other cell whose pivot is at most 2e farther (if x and y
+link and y lies nearest to q, then d(x, q) <= d(y, q) + e <= d(y, p) + e <= d(x, p) + 2e). Cells are regions and are cut
+in the same way, until they are small or a cut no longer halves the pairs that may meet: where all lies within 2e of all
+pivots, cells would only repeat their region.
+
+A final region is cut into rings by distance from its pivot; by the triangle inequality a link spans at most e, so each
+ring takes over a window of that width from below, and joins by itself; the innermost ball needs no join of its own.
+Documents that are known to be in the pivot's component needn't meet each other; the others meet all of their ring, block
+by block where it is large, which is quadratic only in documents that are near to each other and yet not linked.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from .components import connected
 
 #: Documents of a ring that meet in one block, and shingles that are compared at a time: bounds a group's memory.
 BLOCK, COLUMNS = 512, 16_384
+#: Documents of a region that isn't cut again, and pivots that cut a larger one.
+REGION, PIVOTS = 1024, 16
 #: Region keys that are reduced together before their shuffle.
 PIECE = 1 << 20
 
@@ -72,7 +80,7 @@ def _sets(texts: list[bytes], k: int):
 
 
 def profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node (64 bits that stand for the set; null for an empty one), keys of each row of (doc_id, text)."""
+    """doc_id, th, n_shingles, node (64 bits that stand for the set; null for an empty one), keys of each row of (doc_id, text, th)."""
 
     def run(batches):
         import pyarrow as pa
@@ -86,9 +94,9 @@ def profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     node.append(_mark(s))
                     keys.append(slice_keys(s, num, den).view(np.int64))
                 keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in keys]), pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), keys], ["doc_id", "n_shingles", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), keys], ["doc_id", "th", "n_shingles", "node", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, node long, keys array<long>")
 
 
 def _mark(s: np.ndarray) -> int | None:
@@ -137,25 +145,31 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], split: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join what is linked in a block, a spanning forest: at most one for each document.
-
-    split: of the first so many documents with the others; 0: of all documents among themselves.
-    """
-    if len(ids) < 2:
-        return []
+def shared_counts(sets: list[np.ndarray], n_left: int, split: int) -> np.ndarray:
+    """Sizes of the intersections of the first n_left sets with those from `split` on; memory is bounded by COLUMNS shingles."""
     n = np.array([len(s) for s in sets], np.int64)
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(ids)), n)
+    row = np.repeat(np.arange(len(sets)), n)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    n_left = split or len(ids)
-    shared = np.zeros((n_left, len(ids) - split), np.int64)
+    shared = np.zeros((n_left, len(sets) - split), np.int64)
     for low in range(0, int(column[-1]) + 1, COLUMNS):
         at = slice(*np.searchsorted(column, (low, low + COLUMNS)))
-        grid = np.zeros((len(ids), COLUMNS), np.float32)
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
         grid[row[at], column[at] - low] = 1
         shared += (grid[:n_left] @ grid[split:].T).astype(np.int64)
+    return shared
+
+
+def block_links(ids: np.ndarray, sets: list[np.ndarray], split: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join what is linked in a block, a spanning forest: at most one for each document.
+
+    split: of the first so many documents with the others; 0: of all documents among themselves.
+    """
+    if len(ids) < 2:
+        return []
+    n, n_left = np.array([len(s) for s in sets], np.int64), split or len(ids)
+    shared = shared_counts(sets, n_left, split)
     linked = shared * den >= num * (n[:n_left, None] + n[None, split:] - shared)
     root = list(range(len(ids)))
 
@@ -174,6 +188,61 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], split: int, num: int, d
     return out
 
 
+def _assigned(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """region, n, b, pivots, gaps (the distance to each), cells and linked (bits by pivot) of regions (region, b, front, n).
+
+    Pivots: the first document outside the old pivot's component of each of PIVOTS groups by hash, those that lie farther than
+    the window from each other. Members meet the pivots
+    of their region in blocks of about BLOCK, so no task holds a region.
+    """
+    picks = regions.filter("front").groupBy("region", "n", F.pmod(F.xxhash64("b"), F.lit(PIVOTS)).alias("g")).agg(F.min("b").alias("node"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = regions.select("region", F.pmod(F.xxhash64(F.lit(1), "b"), blocks).cast("int").alias("block"), F.col("b").alias("node"), F.lit(1).alias("kind"), "n")
+    pivots = picks.select("region", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", F.lit(0).alias("kind"), "n")
+    margin = 2 * (1 - num / den) * 1.000001
+
+    def assign(group):
+        import pandas as pd
+
+        group = group.sort_values(["kind", "node"])
+        ids, k = group["node"].to_numpy(), int((group["kind"] == 0).sum())
+        if not 0 < k < len(ids):
+            return pd.DataFrame({"region": [], "n": [], "b": [], "pivots": [], "gaps": [], "cells": [], "linked": []})
+        held = [np.asarray(s) for s in group["shingles"]]
+        apart: list[int] = []  # the same in every block: one whose cell another would repeat is no pivot
+        for i in range(k):
+            if all(1 - len(both := np.intersect1d(held[i], held[j])) / (len(held[i]) + len(held[j]) - len(both)) > margin for j in apart):
+                apart.append(i)
+        ids, held = np.concatenate((ids[apart], ids[k:])), [held[i] for i in apart] + held[k:]
+        first, k = k, len(apart)
+        size = np.array([len(s) for s in held], np.int64)
+        shared = shared_counts(held, k, k)
+        either = size[:k, None] + size[None, k:] - shared
+        gap = 1 - shared / either
+        bit = 1 << np.arange(k)[:, None]
+        near = ((gap <= gap.min(axis=0) + margin) & (ids[:k, None] != ids[None, k:])) * bit
+        linked = ((shared * den >= num * either) & (ids[:k, None] != ids[None, k:])) * bit
+        out = {"region": group["region"].iloc[first:], "n": group["n"].iloc[first:], "b": ids[k:], "pivots": [ids[:k]] * (len(ids) - k), "gaps": list(gap.T), "cells": near.sum(axis=0), "linked": linked.sum(axis=0)}
+        return pd.DataFrame(out)
+
+    kind = "region long, n long, b long, pivots array<long>, gaps array<double>, cells int, linked int"
+    return members.unionByName(pivots).join(sets, "node").groupBy("region", "block").applyInPandas(assign, kind)
+
+
+def _by_pivot(assigned: DataFrame, bits: str) -> DataFrame:
+    """region, a (pivot), b, linked, gap for each of the pivots that `bits` names."""
+    has = lambda of, i: F.getbit(F.col(of).cast("long"), i) == 1
+    told = F.transform(F.col("pivots"), lambda p, i: F.struct(p.alias("a"), F.get("gaps", i).alias("gap"), has("linked", i).alias("linked"), has(bits, i).alias("told")))
+    return assigned.select("region", "b", F.explode(F.filter(told, lambda x: x["told"])).alias("x")).select("region", "x.a", "b", "x.linked", "x.gap")
+
+
+def _shrinks(assigned: DataFrame) -> DataFrame:
+    """Regions whose cells have at most half of their pairs between them; others are better joined as they are."""
+    cells = [F.sum(F.getbit(F.col("cells").cast("long"), F.lit(i)).cast("double")) for i in range(PIVOTS)]
+    work = sum([c * c for c in cells[1:]], cells[0] * cells[0])
+    return assigned.groupBy("region").agg(work.alias("work"), F.max("n").cast("double").alias("n")).filter("work <= 0.5 * n * n").select("region")
+
+
 def _distances(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """pairs (a, b) with `linked` and `gap`, the distance."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -183,7 +252,7 @@ def _distances(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, de
 
 
 def _ring_links(rings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside rings (pivot, ring, node, front, inner): documents outside the pivot's component (front) with each
+    """Links (a, b) inside rings (pivot: the region, ring, node, front, inner): documents outside the pivot's component (front) with each
     other and with those inside it. Rings without inner documents (all from the window below) are covered by the one below.
 
     Both parts are dealt to blocks of about BLOCK documents by hash; a group is a pair of blocks, the first one of the front.
@@ -211,62 +280,119 @@ def _ring_links(rings: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return placed.join(sets, "node").groupBy("pivot", "ring", "p", "q").applyInPandas(meet, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of docs.
-
-    Sets are distinct `words`-word shingles (A-Z lower-cased; fewer words: the whole sequence as one); two documents link
-    when den * |x & y| >= num * |x | y|, exactly up to collisions of 64-bit hashes. component_id: the smallest id reachable
-    by links, itself included. Null or empty texts and texts without words have no shingles and link with nothing. Equal
-    sets are one node, so copies cost nothing. Rows of one id with different texts are documents of their own that share
-    the id; rows with a null id link too, and have a null component only if no id is reachable. Extra columns aren't read.
+def jaccard_groups(docs: DataFrame, *, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
+    """doc_id, th (xxhash64 of the text), n_shingles, root (what stands for the component; null for an empty set) and least
+    (its smallest id): a row for each row of docs. Cases as jaccard_components. region: documents of a region not cut again.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     prof = scratch.table(profiles(rows, words, num, den))
     # Regions: keys that different sets share. The smallest node is the pivot; regions of one pivot are one.
     entries = prof.select(F.explode("keys").alias("key"), "node")
     shared = scratch.table(reduced_entries(prof).repartition("key").groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("key", "pivot"))
     some = entries.join(F.broadcast(bitmap(shared, "key")), hit(F.col("key"), F.col("bits"))).select("key", "node")  # sifts before the shuffle
-    region = scratch.table(some.join(shared.hint("merge"), "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = scratch.table(some.join(shared.hint("merge"), "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     scratch.drop(shared)
     scratch.sweep()
-    full, prof = prof, scratch.table(prof.select("doc_id", "n_shingles", "node"))
+    full, prof = prof, scratch.table(prof.select("doc_id", "th", "n_shingles", "node"))
     scratch.drop(full)  # the keys were its bulk
-    wanted = region.select(F.col("a").alias("node")).union(region.select("b")).distinct()
-    wanted = scratch.table(prof.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")))  # one document for each set
+    # Written, as all sides of a join by a hot node are: AQE splits a join only if its exchanges stand alone.
+    alike = scratch.table(prof.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id")))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = scratch.table(alike.join(wanted, "node"))  # one document for each set
     ids = small_side(scratch.table(wanted.select("id").distinct()))
     needed = rows.join(ids, F.expr("doc_id <=> id")).select("doc_id", "text")
     sets = scratch.table(shingle_sets(needed, words).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     scratch.sweep()
-    met = _distances(scratch, region, sets, num, den)
+    met = _distances(scratch, pairs, sets, num, den)
     scratch.sweep()
-    one = scratch.table(connected(scratch, met.filter("linked").select("a", "b")))
+    links = met.filter("linked").select("a", "b")
+    one = scratch.table(connected(scratch, links))
 
     def labelled(df: DataFrame, node: str, to: str) -> DataFrame:
         return df.join(one.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(node) == F.col("_n"), "left").withColumn(to, F.coalesce("_c", node)).drop("_n", "_c")
 
-    # Regions with a document beyond the pivot's threshold: rings of one threshold's width, each with the one below.
+    def placed(met: DataFrame) -> DataFrame:
+        return labelled(labelled(met, "a", "c1"), "b", "c2").withColumn("front", F.col("c1") != F.col("c2")).drop("c1", "c2")
+
+    # Regions with documents outside the pivot's component; large ones are cut into cells as long as that halves the pairs.
+    now = scratch.table(placed(met.select(F.col("a").alias("region"), "a", "b", "linked", "gap")))
+    final, made = [], []
+    while True:
+        sized = now.groupBy("region").agg(F.count("*").alias("n"), F.max("front").alias("open")).filter("open and n > 1").select("region", "n")
+        sized = scratch.table(now.join(scratch.table(sized), "region"))
+        large = sized.filter(F.col("n") > region)
+        final.append(sized.filter(F.col("n") <= region))
+        if not large.limit(1).count():
+            break
+        assigned = scratch.table(_assigned(large.select("region", "b", "front", "n"), sets, num, den))
+        cut = scratch.table(_shrinks(assigned))
+        final.append(large.join(cut, "region", "left_anti"))
+        links = links.union(scratch.table(_by_pivot(assigned.filter("linked <> 0"), "linked").select("a", "b")))
+        cells = scratch.table(_by_pivot(assigned.join(cut, "region"), "cells").withColumn("region", F.xxhash64("region", "a")))
+        made += [assigned, cells]
+        one = scratch.table(connected(scratch, links))
+        now = scratch.table(placed(cells))
     width = (1 - num / den) * 1.000001
-    open_ = met.groupBy("a").agg(F.sum((~F.col("linked")).cast("int")).alias("out"), F.count("*").alias("n")).filter("out > 0 and n > 1").select("a")
+    whole = final[0]
+    for part in final[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.select("region", "a", "b", "linked", "gap")
     own = F.when(F.col("linked"), F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("gap") / width).cast("int")))
-    placed = met.join(open_, "a").select(F.col("a").alias("pivot"), F.col("b").alias("node"), own.alias("own"))
-    placed = labelled(labelled(placed, "pivot", "c1"), "node", "c2").withColumn("front", F.col("c1") != F.col("c2"))
-    placed = placed.select("pivot", "node", "own", "front", F.explode(F.array("own", F.col("own") + 1)).alias("ring")).filter("ring > 0")
-    rings = scratch.table(placed.select("pivot", "ring", "node", "front", (F.col("own") == F.col("ring")).alias("inner")))
+    ringed = placed(whole).select(F.col("region").alias("pivot"), F.col("b").alias("node"), "front", own.alias("own"))  # labels of the last round
+    ringed = ringed.select("pivot", "node", "own", "front", F.explode(F.array("own", F.col("own") + 1)).alias("ring")).filter("ring > 0")
+    rings = scratch.table(ringed.select("pivot", "ring", "node", "front", (F.col("own") == F.col("ring")).alias("inner")))
     more = scratch.table(_ring_links(rings, sets, num, den).distinct())
     two = connected(scratch, labelled(labelled(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
     late = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(one, "node", "left_anti").select("node", F.col("node").alias("component"))
     labels = one.unionByName(late).join(two.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("component") == F.col("_n"), "left")
-    labels = scratch.table(labels.select("node", F.coalesce("_c", "component").alias("component")))
-    for t in (sets, met, rings, region, wanted, more, one):
+    labels = labels.select("node", F.coalesce("_c", "component").alias("component"))
+    rooted = scratch.table(alike.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "id"))
+    for t in (sets, met, rings, pairs, wanted, more, *made):
         scratch.drop(t)
-    linked = prof.join(labels, "node")
-    lowest = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
-    by_node = labels.join(lowest, "component").select("node", "least")
-    alike = prof.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("same"))
-    by_node = alike.join(by_node, "node", "left").select("node", F.coalesce("least", "same").alias("component_id"))
-    return prof.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    lowest = scratch.table(rooted.groupBy("root").agg(F.min("id").alias("least")))
+    by_node = scratch.table(rooted.join(lowest, "root").select("node", "root", "least"))
+    return prof.join(by_node, "node", "left").select("doc_id", "th", "n_shingles", "root", "least")
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of docs; options as jaccard_groups.
+
+    Sets are distinct `words`-word shingles (A-Z lower-cased; fewer words: the whole sequence as one); two documents link
+    when den * |x & y| >= num * |x | y|, exactly up to collisions of 64-bit hashes. component_id: the smallest id reachable
+    by links, itself included. Null or empty texts and texts without words have no shingles and link with nothing. Equal
+    sets are one node: copies meet no one. Rows of one id with different texts are documents of their own that share
+    the id; rows with a null id link too, and have a null component only if no id is reachable. Extra columns aren't read.
+    """
+    found = jaccard_groups(docs, **options)
+    return found.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Component and number of shingles of every document of `documents`, at 90 of 100 and three words; cases as jaccard_components."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract said in SQL: an inverted index of shingles, exact ratios, and the closure of the links.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)
+), both_ways AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached(doc_id, other) AS (
+    SELECT a, b FROM both_ways UNION SELECT r.doc_id, e.b FROM reached r JOIN both_ways e ON e.a = r.other
+)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(other) AS low FROM reached GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
