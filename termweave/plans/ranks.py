@@ -9,8 +9,11 @@ from .storage import stored
 
 
 def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df by range, each partition sorted, with its number `_pid` and the place `_loc` in it; written, so that both hold."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    """df by range, each partition sorted, with its number `_pid` and the place `_loc` in it; written, so that both hold.
+
+    Written before, too: ranges are found from a sample, for which df would be computed a second time.
+    """
+    placed = stored(df, "unranked").repartitionByRange(*order).sortWithinPartitions(*order)
     return stored(placed.withColumn("_pid", F.spark_partition_id()).withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranks")
 
 

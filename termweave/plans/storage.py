@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +31,10 @@ def removed_at_exit(spark: SparkSession, path: str) -> None:
     """Has a folder deleted when the driver ends: lazy results read it until then."""
 
     def run() -> None:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone, and with it any file system
-            pass
+        if path.startswith("file:"):  # needs no session, which may be gone
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
+        elif spark.sparkContext._jsc is not None:
+            remove(spark, path)
 
     atexit.register(run)
 
