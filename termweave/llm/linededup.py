@@ -7,9 +7,8 @@ Jaccard similarity. One sorted array gives all minima, so a line costs one sort
 hashes of a SHORT line would tie the bands to each other; so the bands of short lines are spread over FAMILIES hash
 functions, and lines about the border stand in the bands of both kinds.
 
-Classes that share a band meet the band's pivot. In bands that are then still open, further pivots from outside the
-largest component meet the rest, as long as that helps; at last all classes outside the largest component meet every member
-of their band in another component, block by block, which is quadratic only in classes that are alike and yet not linked;
+Classes that share a band meet the band's pivot, another one in each band. Then all classes outside the largest component of
+their band meet every member in another component, block by block, which is quadratic in classes that are not joined yet;
 in crowded bands bitmaps of the shingles, which never refuse a link, sift these pairs in place. Pairs of long lines whose sketches of the signature agree well enough, and all pairs with a short line, are verified by
 exact Jaccard similarity. Verified links are joined by distributed union-find; the first line of each component, by
 document and place, stays.
@@ -34,8 +33,7 @@ GROUP = BANDS // FAMILIES
 #: Of 64 minima, by four bits each in numbers of 16, so many must agree before a pair of long lines is verified (a pair at
 #: the threshold fails this with probability 0.00003).
 SKETCH, AGREE = [f"s{i}" for i in range(4)], 40
-#: A band is crowded that has more classes than CROWD and more pairs of different components than OPEN: further pivots come
-#: first, as long as they help, and bitmaps sift what is left.
+#: A band is crowded that has more classes than CROWD and more pairs of different components than OPEN: bitmaps sift its pairs.
 CROWD, OPEN = 256, 256
 #: Classes outside a band's largest component that meet their band in one block.
 BLOCK = 512
@@ -145,12 +143,6 @@ def _labelled(df: DataFrame, found: DataFrame) -> DataFrame:
     return df.join(found.select(F.col("node").alias("k1"), F.col("component").alias("_c")), "k1", "left").withColumn("c", F.coalesce("_c", "k1")).drop("_c")
 
 
-def _untried(scratch: Scratch, pairs: DataFrame, sketches: DataFrame, tried: DataFrame) -> DataFrame:
-    """Stored pairs (a, k1), in order, whose sketches agree and that haven't been tried."""
-    pairs = pairs.select(F.least("a", "k1").alias("a"), F.greatest("a", "k1").alias("k1")).distinct().join(tried, ["a", "k1"], "left_anti")
-    return scratch.table(pairs.join(sketches, "k1").join(_other(sketches), "a").filter(_alike()).select("a", "k1"))
-
-
 def _bands(scratch: Scratch, members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, k1, c), and (key, top: the largest component, open: pairs of different components, crowded) of bands with any such pair."""
     placed = scratch.table(_labelled(members, found))
@@ -161,41 +153,24 @@ def _bands(scratch: Scratch, members: DataFrame, found: DataFrame) -> tuple[Data
 
 
 def _complete(scratch: Scratch, members: DataFrame, links: DataFrame, tried: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Further links (a, b), so that all members (key, k1) of a band have met or are joined.
+    """Further links (a, b), so that all members (key, k1) of a band have met or are joined by links.
 
-    Rounds: in every crowded band one class outside the largest component meets all of other components. That joins crowds
-    of near copies in time linear in their number. Bands in which a round closes less than a quarter of the open pairs, and
-    those that aren't crowded, have the classes outside the largest component meet all the others.
+    In each band the classes outside the largest component meet all those of other components.
     """
-    made, before, spent = None, None, []
-    while True:
-        for t in spent:
-            scratch.drop(t)
-        scratch.sweep()
-        found = scratch.table(connected(scratch, links if made is None else links.union(made)))
-        placed, bands = _bands(scratch, members, found)
-        scratch.drop(found)
-        if before is None:
-            slow = bands.select("key").limit(0)
-        else:
-            slow = scratch.table(slow.union(bands.join(before, "key").filter("open > 0.75 * was").select("key")))
-        before = bands.select("key", F.col("open").alias("was"))
-        crowded = scratch.table(bands.filter("crowded").join(slow, "key", "left_anti"))
-        if not crowded.limit(1).count():
-            break
-        inside = scratch.table(placed.join(crowded.select("key", "top"), "key"))
-        pivots = scratch.table(inside.filter("c <> top").groupBy("key").agg(F.min(F.struct(F.xxhash64("k1", "key"), "k1", "c")).alias("p")).select("key", F.col("p.k1").alias("a"), F.col("p.c").alias("ca")))
-        pairs = _untried(scratch, inside.join(pivots, "key").filter("c <> ca").select("a", "k1"), sketches, tried)
-        got = _verified(scratch, pairs, texts, similarity)
-        tried, made, spent = tried.union(pairs), got if made is None else made.union(got), [placed, crowded, inside, pivots]
+    found = scratch.table(connected(scratch, links))
+    placed, bands = _bands(scratch, members, found)
     few, many = ((placed.join(bands.filter(cond).select("key", "top"), "key").join(sketches, "k1").withColumn("front", F.col("c") != F.col("top"))) for cond in ("not crowded", "crowded"))
     few, many = scratch.table(few), scratch.table(many)
     held = scratch.table(_bitmaps(texts.join(many.select("k1").distinct(), "k1")))
-    scratch.drop(placed)
+    for t in (placed, found):
+        scratch.drop(t)
+    scratch.sweep()
     met = _met(scratch, few, _alike()).union(_met(scratch, many.join(held, "k1"), _alike() & _may_link(similarity)))
     pairs = scratch.table(met.select(F.least("a", "k1").alias("a"), F.greatest("a", "k1").alias("k1")).distinct().join(tried, ["a", "k1"], "left_anti"))
-    got = _verified(scratch, pairs, texts, similarity)
-    return got if made is None else made.union(got)
+    for t in (few, many, held):
+        scratch.drop(t)
+    scratch.sweep()
+    return _verified(scratch, pairs, texts, similarity)
 
 
 def _met(scratch: Scratch, bands: DataFrame, alike: F.Column) -> DataFrame:
