@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force over a small table."""
 
+import hashlib
 import re
 
 import corpus_pipeline as P
@@ -83,3 +84,13 @@ def test_empty_and_repeated(spark):
         elif once is None:
             once = left
     assert left == once  # repeated rows change nothing before the mix
+
+
+def test_tokens_are_decoded(spark):
+    """The last stage makes the round trip: ids, and the digest of what they decode to."""
+    texts = {1: "a line\nand  two", 2: "", 3: None, 4: "\u4e2d\u6587 \U0001f600 na\u00efve", 5: "<|endoftext|> x"}
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], COLUMNS)
+    own = bpe.tokenizer(bpe.default_path())
+    rows = P.tokens(spark, table, SF).collect()
+    assert len(rows) == 5 and all(r.n_tokens == len(r.ids) and own.decode(r.ids) == (texts[r.doc_id] or "") for r in rows)
+    assert all(r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() for r in rows)
