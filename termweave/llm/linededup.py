@@ -9,8 +9,9 @@ functions, and lines about the border stand in the bands of both kinds.
 
 Classes that share a band meet the band's pivot, another one in each band. Then all classes outside the largest component of
 their band meet every member in another component, block by block, which is quadratic in classes that are not joined yet;
-in crowded bands bitmaps of the shingles, which never refuse a link, sift these pairs in place. Pairs of long lines whose sketches of the signature agree well enough, and all pairs with a short line, are verified by
-exact Jaccard similarity. Verified links are joined by distributed union-find; the first line of each component, by
+in crowded bands such classes meet some of the largest component first, for most are joined by that, and bitmaps of the
+shingles, which never refuse a link, sift the pairs in place. Pairs of long lines whose sketches of the signature agree
+well enough, pairs of short lines whose small bitmaps don't refuse them, and all pairs of a short and a long line are verified by exact Jaccard similarity. Verified links are joined by distributed union-find; the first line of each component, by
 document and place, stays.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap, hit
+from .common import Scratch, bitmap, hit, small_side
 from .components import connected
 
 SIMILARITY = 0.8
@@ -33,6 +34,10 @@ GROUP = BANDS // FAMILIES
 #: Of 64 minima, by four bits each in numbers of 16, so many must agree before a pair of long lines is verified (a pair at
 #: the threshold fails this with probability 0.00003).
 SKETCH, AGREE = [f"s{i}" for i in range(4)], 40
+#: Bits in the sketch of a short line, a bitmap of its shingles in as many numbers.
+BITS = 64 * len(SKETCH)
+#: Of the largest component of a crowded band, so many classes at most meet those outside it first.
+FIRST = 32
 #: A band is crowded that has more classes than CROWD and more pairs of different components than OPEN: bitmaps sift its pairs.
 CROWD, OPEN = 256, 256
 #: Classes outside a band's largest component that meet their band in one block.
@@ -69,8 +74,8 @@ def shingles(norm, family=None) -> F.Column:
 
 
 def signatures(lines: DataFrame, similarity: float) -> DataFrame:
-    """k1, family, g0, g1, ... (keys of the bands, by group), SKETCH (null for a short line): a row for each class of lines,
-    and for a short one a row for each further hash function.
+    """k1, family, g0, g1, ... (keys of the bands, by group), SKETCH, d (distinct shingles of a short line, else null): a row for each class
+    of lines, and for a short one a row for each further hash function. SKETCH and d count in rows of family 0.
 
     Group f holds the bands of the f-th hash function of short lines, and the same bands of long lines.
     """
@@ -89,10 +94,19 @@ def signatures(lines: DataFrame, similarity: float) -> DataFrame:
     all_bands = (F.col("family") == 0) & (F.col("n") >= int(similarity * SHORT))
     bands = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: all_bands | (F.floor(b / GROUP) == F.col("family")))
     # `bands` keeps this projection out of whole-stage code, whose one method the JVM would find too large to compile.
-    made = made.select("k1", "n", "family", bands.alias("bands"), F.array(*[after(c) for c in CONSTANTS]).alias("m"))
+    short = (F.col("n") <= SHORT) & (F.col("family") == 0)
+    maps = [F.when(short, _bits(i)).alias(f"b{i}") for i in range(len(SKETCH))]
+    made = made.select("k1", "n", "family", bands.alias("bands"), F.array(*[after(c) for c in CONSTANTS]).alias("m"), F.when(short, F.size(F.array_distinct("ring"))).alias("d"), *maps)
     key = lambda b: F.xxhash64(b, "family", F.slice("m", b * ROWS + 1, ROWS))
     group = lambda f: F.transform(F.filter("bands", lambda b: F.floor(b / GROUP) == f), key).alias(f"g{f}")
-    return made.select("k1", "family", *map(group, range(FAMILIES)), *[F.when(F.col("n") > SHORT, _sketch(16 * i)).alias(s) for i, s in enumerate(SKETCH)])
+    return made.select("k1", "family", *map(group, range(FAMILIES)), "d", *[F.when(F.col("n") > SHORT, _sketch(16 * i)).otherwise(F.col(f"b{i}")).alias(s) for i, s in enumerate(SKETCH)])
+
+
+def _bits(i: int) -> F.Column:
+    """The i-th number of the bitmap of the hashes in `ring`."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    own = lambda h: F.shiftright(h.bitwiseAND(F.lit(BITS - 1)), 6) == i
+    return F.aggregate("ring", F.lit(0).cast("long"), lambda a, h: F.when(own(h), a.bitwiseOR(bit(h))).otherwise(a))
 
 
 def _sketch(start: int) -> F.Column:
@@ -113,13 +127,19 @@ def _agreeing(a: F.Column, b: F.Column) -> F.Column:
 
 def _other(sketches: DataFrame) -> DataFrame:
     """Sketches of the other side of a pair."""
-    return sketches.select(F.col("k1").alias("a"), *[F.col(s).alias(f"o_{s}") for s in SKETCH])
+    return sketches.select(F.col("k1").alias("a"), *[F.col(s).alias(f"o_{s}") for s in ("d", *SKETCH)])
 
 
-def _alike() -> F.Column:
-    """Whether the sketches of both sides agree well enough, or one is missing."""
-    same = [_agreeing(F.col(s), F.col(f"o_{s}")) for s in SKETCH]
-    return F.coalesce(sum(same[1:], same[0]) >= AGREE, F.lit(True))
+def _alike(similarity: float) -> F.Column:
+    """Whether the sketches of two long lines agree well enough, or the bitmaps of two short ones admit a link (they never
+    refuse one); a short and a long line may always be alike."""
+    num = round(similarity * 10_000)
+    total = lambda parts: sum(parts[1:], parts[0])
+    agree = total([_agreeing(F.col(s), F.col(f"o_{s}")) for s in SKETCH]) >= AGREE
+    common, own, other = (total([F.bit_count(x) for x in xs]) for xs in ([F.col(s).bitwiseAND(F.col(f"o_{s}")) for s in SKETCH], [F.col(s) for s in SKETCH], [F.col(f"o_{s}") for s in SKETCH]))
+    admitted = (common + F.least(F.col("d") - own, F.col("o_d") - other)) * F.lit(10_000 + num) >= (F.col("d") + F.col("o_d")) * F.lit(num)
+    short, o_short = F.col("d").isNotNull(), F.col("o_d").isNotNull()
+    return F.when(short & o_short, admitted).when(short | o_short, F.lit(True)).otherwise(agree)
 
 
 def _members(scratch: Scratch, sigs: DataFrame) -> DataFrame:
@@ -159,18 +179,41 @@ def _complete(scratch: Scratch, members: DataFrame, links: DataFrame, tried: Dat
     """
     found = scratch.table(connected(scratch, links))
     placed, bands = _bands(scratch, members, found)
+    further = None
+    if bands.filter("crowded").limit(1).count():
+        pairs = _first(scratch, placed.join(bands.filter("crowded").select("key", "top"), "key"), tried, sketches, similarity)
+        further = _verified(scratch, pairs, texts, similarity)
+        for t in (placed, bands, found):
+            scratch.drop(t)
+        scratch.sweep()
+        found, tried = scratch.table(connected(scratch, links.union(further))), tried.union(pairs)
+        placed, bands = _bands(scratch, members, found)
     few, many = ((placed.join(bands.filter(cond).select("key", "top"), "key").join(sketches, "k1").withColumn("front", F.col("c") != F.col("top"))) for cond in ("not crowded", "crowded"))
     few, many = scratch.table(few), scratch.table(many)
     held = scratch.table(_bitmaps(texts.join(many.select("k1").distinct(), "k1")))
     for t in (placed, found):
         scratch.drop(t)
     scratch.sweep()
-    met = _met(scratch, few, _alike()).union(_met(scratch, many.join(held, "k1"), _alike() & _may_link(similarity)))
+    met = _met(scratch, few, _alike(similarity)).union(_met(scratch, many.join(held, "k1"), _alike(similarity) & _may_link(similarity)))
     pairs = scratch.table(met.select(F.least("a", "k1").alias("a"), F.greatest("a", "k1").alias("k1")).distinct().join(tried, ["a", "k1"], "left_anti"))
     for t in (few, many, held):
         scratch.drop(t)
     scratch.sweep()
-    return _verified(scratch, pairs, texts, similarity)
+    last = _verified(scratch, pairs, texts, similarity)
+    return last if further is None else last.union(further)
+
+
+def _first(scratch: Scratch, crowded: DataFrame, tried: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, k1) not tried: classes outside the largest component of a crowded band (k1, c, top) with FIRST of that component.
+
+    The same few of a component in all its bands: a class of many links is joined by one of them and needn't meet all.
+    """
+    slot = F.pmod(F.xxhash64("k1"), F.lit(FIRST)).alias("slot")
+    some = small_side(scratch.table(crowded.filter("c = top").groupBy("top", slot).agg(F.min("k1").alias("p")).drop("slot")))
+    pairs = crowded.filter("c <> top").select("k1", "top").distinct().join(some, "top")
+    pairs = pairs.select(F.least("k1", "p").alias("a"), F.greatest("k1", "p").alias("k1")).distinct()
+    pairs = pairs.join(tried, ["a", "k1"], "left_anti").join(sketches, "k1").join(_other(sketches), "a")
+    return scratch.table(pairs.filter(_alike(similarity)).select("a", "k1"))
 
 
 def _met(scratch: Scratch, bands: DataFrame, alike: F.Column) -> DataFrame:
@@ -216,11 +259,11 @@ def line_components(scratch: Scratch, docs: DataFrame, similarity: float = SIMIL
     """(k1, component) for the line classes that have a near-duplicate of another class, and all lines' places (doc, th, pos, k1, k2)."""
     sigs = scratch.table(signatures(lines_of(docs), similarity))
     scratch.sweep()
-    sketches = scratch.table(sigs.filter("family = 0").select("k1", *SKETCH))
+    sketches = scratch.table(sigs.filter("family = 0").select("k1", "d", *SKETCH))
     members = _members(scratch, sigs)
     scratch.drop(sigs)
     stars = members.select(F.least("a", "k1").alias("a"), F.greatest("a", "k1").alias("k1")).distinct().join(sketches, "k1").join(_other(sketches), "a")
-    stars = scratch.table(stars.filter(_alike()).select("a", "k1"))
+    stars = scratch.table(stars.filter(_alike(similarity)).select("a", "k1"))
     several = members.filter("n > 2")  # in a band of two, all have met
     crowded = scratch.table(several.select("key", "k1").union(several.select("key", F.col("a").alias("k1")).distinct()))
     wanted = stars.select("k1").union(stars.select("a")).union(crowded.select("k1")).distinct()

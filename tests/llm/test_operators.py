@@ -646,3 +646,28 @@ def test_hilbert_curve_and_shards(spark, docs):
         assert [p for p, _ in sorted(slots[s])] == list(range(len(slots[s])))
         assert last <= min(c for _, c in slots[s])
         last = max(c for _, c in slots[s])
+
+
+def test_near_copies_need_not_all_meet(spark, monkeypatch):
+    """Many near copies of one line: components equal brute force, though far fewer pairs are verified than link."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(400)]
+    edited = lambda base, n: " ".join(w if i not in at else r.choice(words) for at in [{r.randrange(len(base)) for _ in range(n)}] for i, w in enumerate(base))
+    long, short = ([r.choice(words) for _ in range(n)] for n in (45, 9))
+    lines = list(dict.fromkeys([edited(long, r.randint(0, 4)) for _ in range(150)] + [edited(short, r.randint(0, 1)) for _ in range(80)]))
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    low, links = list(range(len(lines))), 0
+    for i in range(len(lines)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+    pairs, verified = [], linededup._verified
+    monkeypatch.setattr(linededup, "_verified", lambda scratch, p, *a: pairs.append(p.count()) or verified(scratch, p, *a))
+    for name, value in (("CROWD", 8), ("OPEN", 8), ("FIRST", 4)):
+        monkeypatch.setattr(linededup, name, value, raising=False)
+    out = {x.text for x in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect() if x.text}
+    assert out == {x for i, x in enumerate(lines) if low[i] == i}
+    print("VERIFIED", pairs, "LINKS", links)
+    assert len(pairs) == 3 and sum(pairs) < links
