@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pre-tokenizer's pattern (a fixed value of the tokenizer file's kind).
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-#: Pre-tokens kept by a worker; longer ones than CACHE_CHARS are never kept. Bounds its memory.
+#: Pre-tokens kept by a worker, in each of two generations; longer ones than CACHE_CHARS are never kept. Bounds its memory.
 CACHE_ITEMS, CACHE_CHARS = 120_000, 48
 #: Ids up to which a fragment is merged by looking at all neighbours.
 SHORT = 48
-_NONE = (1 << 60, -1)
+#: In short fragments a pair of ids and a merge (rank and the id made) are one number each: faster to look up and compare.
+_NONE = 1 << 62
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,8 +53,11 @@ class ForcedBoundaryBpe:
         self.inside = {pair for t in vocab for pair in zip(t, t[1:])}  # noqa: B905  byte pairs found inside tokens
         self.pattern = regex.compile(_SPLIT)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.cache: dict[str, tuple[list[int], str, bytes]] = {}
+        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the generation of the cache before
         self.merged: dict[bytes, list[int]] = {}  # by fragment
+        self.packed = {a << 32 | b: rank << 32 | made for (a, b), (rank, made) in self.merges.items()}
 
     def fragments(self, piece: bytes) -> Iterator[bytes]:
         """The piece, cut at every certain boundary."""
@@ -91,59 +95,58 @@ class ForcedBoundaryBpe:
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         """The same for few ids, without a heap: the merges of all neighbours are kept in a list."""
-        get, none = self.merges.get, _NONE
-        found = [get(pair, none) for pair in zip(ids, ids[1:])]  # noqa: B905
+        get, none = self.packed.get, _NONE
+        found = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
         while found:
             best = min(found)
-            if best is none:
+            if best == none:
                 break
             i = found.index(best)
-            made = best[1]
-            ids[i : i + 2] = [made]
-            del found[i]
+            ids[i] = made = best & 0xFFFFFFFF
+            del found[i], ids[i + 1]
             if i < len(found):
-                found[i] = get((made, ids[i + 1]), none)
+                found[i] = get(made << 32 | ids[i + 1], none)
             if i:
-                found[i - 1] = get((ids[i - 1], made), none)
+                found[i - 1] = get(ids[i - 1] << 32 | made, none)
         return ids
 
-    def piece(self, word: str) -> tuple[list[int], str, bytes]:
-        """Ids of a pre-token, their decimal form, comma-joined, and the bytes that they decode to."""
-        ids: list[int] = []
-        for f in self.fragments(word.encode()):
-            part = self.merged.get(f)
-            if part is None:
-                part = self.merge(f)
-                if len(f) <= CACHE_CHARS:
-                    if len(self.merged) >= CACHE_ITEMS:
-                        self.merged.clear()
-                    self.merged[f] = part
-            ids += part
-        got = ids, ",".join(map(str, ids)), self.raw(ids)
+    def piece(self, word: str) -> tuple[int, ...]:
+        """Ids of a pre-token."""
+        got = self.older.get(word)
+        if got is None:
+            ids: list[int] = []
+            for f in self.fragments(word.encode()):
+                part = self.merged.get(f)
+                if part is None:
+                    part = self.merge(f)
+                    if len(f) <= CACHE_CHARS:
+                        if len(self.merged) >= CACHE_ITEMS:
+                            self.merged.clear()
+                        self.merged[f] = part
+                ids += part
+            got = tuple(ids)
         if len(word) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_ITEMS:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             self.cache[word] = got
         return got
 
-    def pieces(self, text: str) -> list[tuple[list[int], str, bytes]]:
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text; [] for an empty one. Special tokens' strings become their ids."""
         if self.specials and any(s in text for s in self.special):
             out, end = [], 0
             for m in self.specials.finditer(text):
                 out += self._plain(text[end : m.start()])
-                i = self.special[m.group()]
-                out.append(([i], str(i), self.raw([i])))
+                out.append(self.special[m.group()])
                 end = m.end()
             return out + self._plain(text[end:])
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[tuple[list[int], str, bytes]]:
-        get, make = self.cache.get, self.piece
-        return [get(w) or make(w) for w in self.pattern.findall(text)]
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; [] for an empty one. Special tokens' strings become their ids."""
-        return [t for ids, *_ in self.pieces(text) for t in ids]
+    def _plain(self, text: str) -> list[int]:
+        make, out = self.piece, []
+        for w in self.pattern.findall(text):
+            out += self.cache.get(w) or make(w)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; special tokens stay, invalid UTF-8 becomes U+FFFD, unknown ids are left out."""
@@ -197,10 +200,10 @@ def token_digests(docs: DataFrame, path: str | None = None, *, id_col: str = "do
         for batch in batches:
             n, a, b = [], [], []
             for text in batch.column(1):
-                pieces = bpe.pieces(text.as_py() or "")
-                n.append(sum([len(p[0]) for p in pieces]))
-                a.append(of(",".join([p[1] for p in pieces])))
-                b.append(of(b"".join([p[2] for p in pieces]).decode("utf-8", "replace")))  # characters may span pieces
+                ids = bpe.encode(text.as_py() or "")
+                n.append(len(ids))
+                a.append(of(",".join([bpe.text_of[i] for i in ids])))
+                b.append(of(bpe.decode(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

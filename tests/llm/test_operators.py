@@ -372,6 +372,17 @@ def test_block_tables_find_every_fingerprint(spark):
         assert got == want
 
 
+def test_rare_words_do_not_drive_out_common_ones(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ITEMS", 4)
+    own, cut = bpe.ForcedBoundaryBpe(bpe.default_path()), []
+    plain = own.fragments
+    own.fragments = lambda piece: cut.append(piece) or plain(piece)
+    text = "".join(f" common r{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}x" for i in range(60))
+    assert own.decode(own.encode(text)) == text
+    assert cut.count(b" common") == 1  # a cache that is emptied when full makes it again and again
+    assert len(own.cache) <= 4 and len(own.older) <= 4
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
