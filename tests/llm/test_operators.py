@@ -622,6 +622,25 @@ def test_components_of_chains_and_stars(spark):
 
 
 
+def test_few_links_are_not_dealt_to_many_tasks(spark):
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(40)]
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(was, ("211", "false"), strict=True):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few links", "")
+        got = dict(connected(Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long")).collect())
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numTasks for s in stages if (x := tracker.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setJobGroup(None, None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(61)} | {100: 100} | {200 + i: 100 for i in range(40)}
+    assert stages and tasks < 1_500  # of 211 tasks, each round had five exchanges
+
+
 def test_quantile_cells(spark):
     rows = spark.createDataFrame([(f"https://site{i:03d}", i) for i in range(500)] + [("a", 10**12), (None, None)], "source string, n long")
     for column in ("source", "n"):
