@@ -67,10 +67,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def shingles(norm, family=None) -> F.Column:
     """The hashes of a line's shingles, repeats included. In UTF-32 a place is found without counting from the line's start."""
-    at = lambda wide, i: F.substring(wide, F.lit(4) * i + F.lit(1), F.lit(4 * N))
     of = lambda x: F.xxhash64(x) if family is None else F.xxhash64(x, family)
-    last = lambda wide: F.greatest(F.shiftright(F.length(wide), 2) - F.lit(N), F.lit(0))
-    return F.element_at(F.transform(F.array(F.encode(norm, "UTF-32")), lambda wide: F.transform(F.sequence(F.lit(0), last(wide)), lambda i: of(at(wide, i)))), 1)
+    last = lambda wide: F.greatest(F.length(wide) - F.lit(4 * N), F.lit(0)) + F.lit(1)
+    # The sequence holds the places in bytes, so that no arithmetic is left for each of them.
+    at = lambda wide: F.transform(F.sequence(F.lit(1), last(wide), F.lit(4)), lambda i: of(F.substring(wide, i, F.lit(4 * N))))
+    return F.element_at(F.transform(F.array(F.encode(norm, "UTF-32")), at), 1)
 
 
 def signatures(lines: DataFrame, similarity: float) -> DataFrame:

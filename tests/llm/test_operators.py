@@ -457,6 +457,20 @@ def character_components(names, n=5):
     return union(len(names), [(a, b) for a in range(len(sets)) for b in range(a) if close(sets[a], sets[b])])
 
 
+def test_shingles_are_hashes_of_all_places(spark):
+    from pyspark.sql import functions as F
+
+    lines = ["a", "abcd", "abcde", "abcdef", "x\U0001f600y\u4e2d\u6587z!", "aaaaaaaa"]
+    df = spark.createDataFrame([(x, 1) for x in lines], "norm string, family int")
+    for family in (None, "family"):
+        of = lambda x: F.xxhash64(*[x, *([] if family is None else ["family"])])  # noqa: E731, B023
+        rows = [(x, i, x[i : i + linededup.N], 1) for x in lines for i in range(max(1, len(x) - linededup.N + 1))]
+        plain = spark.createDataFrame(rows, "norm string, i int, s string, family int").select("norm", "i", of(F.encode("s", "UTF-32")).alias("h")).collect()
+        want = {x: [r.h for r in sorted((r for r in plain if r.norm == x), key=lambda r: r.i)] for x in lines}
+        made = df.select("norm", linededup.shingles(F.col("norm"), None if family is None else F.col(family)).alias("h")).collect()
+        assert {r.norm: list(r.h) for r in made} == want
+
+
 def test_lines_by_characters(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
